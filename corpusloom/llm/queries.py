@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, jaccard_join, packing, token_files
+from corpusloom.llm import exact_dedup, hmm, jaccard_join, packing, pii, quality, token_files
 from corpusloom.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,9 +24,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_blocks(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_packing, op4_exact_dedup, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op7_hmm, op8_token_files)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
