@@ -132,7 +132,7 @@ def _prefixes(percent: int):
 
     def run(batches):
         for batch in batches:
-            cls, n, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cls, n, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             sets, prefixes = [], []
             for size, part in zip(n, parts):
                 part.sort(key=lambda p: p["fragment"])
@@ -144,7 +144,7 @@ def _prefixes(percent: int):
                 order = np.lexsort((full, df))[: len(full) - need + 1]
                 sets.append(np.sort(full).tobytes())
                 prefixes.append(full[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([cls, batch.column(1), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["cls", "n", "shingles", "prefix"])
+            yield pa.RecordBatch.from_arrays([cls, batch.column(1), batch.column(2), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["cls", "n", "many", "shingles", "prefix"])
 
     return run
 
@@ -187,23 +187,24 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = rows.select("text").mapInArrow(_fragments(size, fragments), "fragment long, cls binary, n binary, counts binary, shingles binary")
     shared = parts.groupBy("fragment").applyInArrow(_shared, _SHARED)
     whole = shared.groupBy("cls", "n").agg(F.sum("many").alias("many"), F.collect_list(F.struct("fragment", "shingles", "df")).alias("parts"))
-    whole = whole.filter(F.expr(f"100 * many >= {percent} * n")).select("cls", "n", "parts")
-    classes = stored(whole.mapInArrow(_prefixes(percent), "cls long, n long, shingles binary, prefix array<long>"), "shared")
-    posts = classes.select(F.explode("prefix").alias("shingle"), "cls", "n")
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-
-    leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    stars = posts.join(leaders, "shingle").select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), "n", F.col("l.n").alias("m"))
+    whole = whole.filter(F.expr(f"100 * many >= {percent} * n")).select("cls", "n", "many", "parts")
+    classes = stored(whole.mapInArrow(_prefixes(percent), "cls long, n long, many long, shingles binary, prefix array<long>"), "shared")
+    posts = classes.select(F.explode("prefix").alias("shingle"), "cls", "n", "many")
+    # an overlap is at most the lesser number of shared shingles
+    near = f"100 * least(many, also) >= {percent} * (n + m - least(many, also))"
+
+    leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "many")).alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    stars = posts.join(leaders, "shingle").select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), "n", "many", F.col("l.n").alias("m"), F.col("l.many").alias("also"))
     stars = stars.filter("a != b").filter(near).select("a", "b").distinct()
     first = stored(_links(stars, classes, percent), "links")
     labels = connected_components(first)
 
     comp = labels.select(F.col("node").alias("cls"), "label")
-    posts = posts.join(comp, "cls", "left").select("shingle", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    posts = posts.join(comp, "cls", "left").select("shingle", "cls", "n", "many", F.coalesce("label", "cls").alias("label"))
     sizes = posts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
     mains = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("shingle", "main")
     posts = stored(posts.join(mains, "shingle"), "postings")
-    probes = posts.filter("label != main").select("shingle", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"))
+    probes = posts.filter("label != main").select("shingle", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("many").alias("also"), F.col("label").alias("la"))
     cross = probes.join(posts, "shingle").filter("la != label").filter("label = main or a < cls").filter(near)
     cross = cross.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
