@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, hmm, jaccard_join, packing, pii, quality, token_files
+from corpusloom.llm import byte_bpe, exact_dedup, hmm, jaccard_join, packing, pii, quality, token_files, topk
 from corpusloom.llm.common import table
 
 
@@ -28,6 +29,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model(table(spark, sf_dir, "documents"))
 
@@ -36,5 +41,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_blocks(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op7_hmm, op8_token_files)}
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op6_topk, op7_hmm, op8_token_files, op10_byte_bpe)}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_topk": topk.ORACLE}
