@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, exact_dedup, hmm, jaccard_join, packing, pii, quality, token_files, topk
+from corpusloom.llm import byte_bpe, exact_dedup, hmm, jaccard_join, packing, passages, pii, quality, token_files, topk
 from corpusloom.llm.common import table
 
 
@@ -41,9 +41,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_blocks(table(spark, sf_dir, "documents")))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op6_topk, op7_hmm, op8_token_files, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op6_topk, op7_hmm, op8_token_files, op9_passages, op10_byte_bpe)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_topk": topk.ORACLE}
