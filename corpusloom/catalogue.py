@@ -1,4 +1,360 @@
 """All registered queries of the library proper, by name, with their SQL."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import ids, predicates, text
+from corpusloom.operators import ordered, reconcile, report
+from corpusloom.sources import markup
+from corpusloom.streaming import progress
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+
+
+_FNV = "case when {k} = '' then '811c9dc5' else lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({k}, ''), lambda c: unicode(c)::bigint)), lambda h, c: ((xor(h, c) * 16777619) & 4294967295))), 8, '0')) end"
+_KEY = "source || chr(0) || lang || chr(0) || doc_id::varchar || chr(0) || text"
+_STRIP = r"regexp_replace({c}, '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+$', '', 'g')"
+#: First word of a text: short strings for the filters of labels and identifiers.
+_WORD = "split_part(replace(text, chr(10), ' '), ' ', 1)"
+
+
+def _id(df):
+    return ids.stable_id(F.col("source"), F.col("lang"), F.array(F.col("doc_id").cast("string")), F.col("text"))
+
+
+@query(f"select doc_id, {_FNV.format(k='(' + _KEY + ')')} as id from documents where text is not null")
+def stable_ids(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null")
+    return d.select("doc_id", _id(d).alias("id"))
+
+
+@query(f"select id, count(*) as texts from (select distinct text, {_FNV.format(k='text')} as id from documents where text is not null) group by id having count(*) > 1")
+def id_collisions(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null").select("text").distinct().select(ids.fnv1a32(F.col("text")).alias("id"))
+    return d.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+
+
+@query("select lang, min(doc_id) as representative, count(*) as members, length(text) as chars from documents where trim(text) <> '' group by text, lang")
+def dedup_representatives(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("trim(text) <> ''")
+    return reconcile.representatives(d, ["text", "lang"], "doc_id").select("lang", "representative", "members", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("select doc_id, min(doc_id) over (partition by text, lang) as representative, count(*) over (partition by text, lang) as members from documents where text is not null")
+def fan_out(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    reps = reconcile.representatives(d, ["h", "n", "lang"], "doc_id")
+    return reconcile.fan_out(d, reps, ["h", "n", "lang"]).select("doc_id", "representative", "members")
+
+
+_MEMORY = "(select doc_id, case when quality = 1 then 'done' else '' end as translated, toxic = 1 as approved from labels)"
+
+
+def _memory(spark, sf_dir):
+    return _t(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "done").otherwise("").alias("translated"), (F.col("toxic") == 1).alias("approved"))
+
+
+@query(f"select d.doc_id, d.source, coalesce(m.translated, '') as translated, coalesce(m.approved, false) as approved from documents d left join {_MEMORY} m using (doc_id)")
+def memory_merge(spark, sf_dir):
+    return reconcile.merge_strings(_t(spark, sf_dir, "documents").select("doc_id", "source"), _memory(spark, sf_dir), "doc_id")
+
+
+@query(f"select d.doc_id, d.source from documents d left join {_MEMORY} m using (doc_id) where not coalesce(m.approved, false) and coalesce(m.translated, '') = ''")
+def work_selection(spark, sf_dir):
+    merged = reconcile.merge_strings(_t(spark, sf_dir, "documents").select("doc_id", "source"), _memory(spark, sf_dir), "doc_id")
+    return reconcile.pending(merged).select("doc_id", "source")
+
+
+@query(f"select coalesce(m.doc_id, f.doc_id) as doc_id, coalesce(m.translated, f.source, '') as original, coalesce(f.lang, m.translated) as translated, coalesce(m.approved, false) as approved from {_MEMORY} m full join (select doc_id, source, lang from documents where lang <> 'en') f on m.doc_id = f.doc_id")
+def memory_upsert(spark, sf_dir):
+    memory = _memory(spark, sf_dir).withColumn("original", F.col("translated"))
+    fresh = _t(spark, sf_dir, "documents").filter("lang <> 'en'").select("doc_id", F.col("source").alias("original"), F.col("lang").alias("translated"))
+    return reconcile.merge_translations(memory, fresh, "doc_id")
+
+
+@query("select doc_id from documents d where not exists (select 1 from conversations c where lower(c.role) = lower(d.source)) and not exists (select 1 from benchmark b where lower(trim(b.text)) = lower(trim(d.text)))")
+def anti_existing(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.lower(F.trim("text")).alias("k"))
+    b = _t(spark, sf_dir, "benchmark").select(F.lower(F.trim("text")).alias("k"))
+    return reconcile.missing(d, b, ["k"]).select("doc_id")
+
+
+@query("select doc_id from documents where text in (select text from documents where source = 'src1') and source <> 'src1'")
+def duplicates_of_selection(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    chosen = d.filter("source = 'src1'").select("text")
+    return d.filter("source <> 'src1'").join(chosen, "text", "left_semi").select("doc_id")
+
+
+@query("""with u as (select distinct lower(split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3)) as unit from pages
+union select distinct lower(split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4)) from pages where page_id % 2 = 0)
+select page_id, max_by(unit, length(unit) * 1000000) as unit from pages join u on lower(url) = unit or starts_with(lower(url), unit || '/') group by page_id""")
+def assign_unit_prefix(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", "url")
+    head = lambda n: F.lower(F.array_join(F.slice(F.split("url", "/"), 1, n), "/"))
+    units = p.select(head(3).alias("unit")).unionByName(p.filter("page_id % 2 = 0").select(head(4).alias("unit"))).distinct()
+    return reconcile.assign_unit(p, "url", units, "unit").select("page_id", "unit")
+
+
+_IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_ANY = lambda c, ps: "(" + " or ".join(f"regexp_matches({c}, '{p}')" for p in ps) + ")"
+_HAS = lambda c, ms: "(" + " or ".join(f"contains({c}, '{m}')" for m in ms) + ")"
+
+_GAME = f"""select i, s, case when length(t) < 2 or not regexp_matches(t, '\\p{{L}}') or {_ANY('t', predicates.NEVER)} then false
+when contains(t, ' ') or contains(t, chr(10)) or lower(t) in {_IN(predicates.INTERFACE_WORDS)} then true
+when {_ANY('t', predicates.IDENTIFIER)} or lower(t) in {_IN(predicates.CODE_WORDS)} then false
+when upper(t) = t and length(t) <= 20 and not contains(t, '_') then true
+else regexp_matches(t, '^\\p{{Lu}}[^\\p{{Lu}}]+$') and length(t) between 4 and 30 end as game_text
+from (select *, {_STRIP.replace('{c}', 's')} as t from (select doc_id as i, {_WORD} as s from documents where text is not null union all select p_partkey + 1000000000, p_name from part))"""
+
+
+@query(_GAME)
+def game_text_filter(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null").select(F.col("doc_id").alias("i"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")[0].alias("s"))
+    p = _t(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000000).alias("i"), F.col("p_name").alias("s"))
+    x = d.unionByName(p)
+    return x.select("i", "s", predicates.game_text(F.col("s")).alias("game_text"))
+
+
+_BARE = r"regexp_replace(regexp_replace(t, '\{[^}]*\}', '', 'g'), '\[[^\]]*\]', '', 'g')"
+_TECH = rf"""select i, (t = '' or {" or ".join(f"ends_with(lower(t), '{e}')" for e in predicates.ASSET_ENDINGS)} or (not contains(b, ' ') and (contains(b, '/') or contains(b, '\')) and contains(b, '.'))
+ or regexp_matches(t, '^#[0-9a-fA-F]{{3,8}}$') or t in {_IN(predicates.STYLE_KEYS)} or not regexp_matches(b, '\p{{L}}')) as script_technical,
+ (t = '' or not regexp_matches(s, '\p{{L}}') or ((contains(s, '/') or contains(s, '\')) and contains(l, '.') and lower(list_extract(string_split(l, '.'), -1)) in {_IN(predicates.PATH_ENDINGS)}) or (not contains(s, ' ') and contains(s, '_'))) as code_technical,
+ not (t = '' or lower(t) in ('true', 'false') or regexp_matches(t, '^-?[0-9]+(\.[0-9]+)?$') or contains(t, '->') or regexp_matches(t, '^\[[^\]]+\]$') or regexp_matches(t, '^\([^)]*\)$')) as definition_text,
+ regexp_matches(t, '\p{{L}}') and not regexp_matches(t, '^[\{{\[\(][A-Z0-9_\-\s]+[\}}\]\)]$') as localised_text
+from (select *, {_BARE} as b, list_extract(string_split(replace(s, '\', '/'), '/'), -1) as l from (select *, {_STRIP.replace('{c}', 's')} as t from
+(select page_id as i, url as s from pages union all select doc_id + 1000000000, {_WORD} from documents where text is not null)))"""
+
+
+@query(_TECH)
+def technical_filter(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("i"), F.col("url").alias("s"))
+    d = _docs(spark, sf_dir).filter("text is not null").select((F.col("doc_id") + 1000000000).alias("i"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")[0].alias("s"))
+    s = F.col("s")
+    return p.unionByName(d).select("i", predicates.script_technical(s).alias("script_technical"), predicates.code_technical(s).alias("code_technical"), predicates.definition_text(s).alias("definition_text"), predicates.localised_text(s).alias("localised_text"))
+
+
+@query("""select conv_id, turn, row_number() over (partition by conv_id, role order by turn) - 1 as ordinal,
+case when row_number() over (partition by conv_id, role order by turn) = 1 then role else role || '_' || (row_number() over (partition by conv_id, role order by turn) - 1)::varchar end as name from conversations""")
+def running_ordinal(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", ordered.ordinal(["conv_id", "role"], ["turn"]).cast("bigint").alias("ordinal"), ordered.unique_names(F.col("role"), ["conv_id", "role"], ["turn"]).alias("name"))
+
+
+@query("""select conv_id, turn, case when length(p) > 250 then substring(p, 1, 150) || '...' else p end as previous, s as speaker
+from (select conv_id, turn, lag(text) over w as p, lag(role) over w as s from conversations window w as (partition by conv_id order by turn))""")
+def prev_turn_context(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    before = lambda x: ordered.previous_context(x, ["conv_id"], ["turn"])
+    return c.select("conv_id", "turn", before(F.col("text")).alias("previous"), before(F.col("role")).alias("speaker"))
+
+
+@query("""select source as unit, count(*) as total, count(*) filter (quality = 1) as translated, cast(floor(count(*) filter (quality = 1) * 100 / count(*) + 0.5) as bigint) as percent,
+case when count(*) filter (quality = 1) = count(*) then 1 else 0 end as tier from documents left join labels using (doc_id) group by source""")
+def unit_progress(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return report.unit_progress(d, "source", F.coalesce(F.col("quality") == 1, F.lit(False)))
+
+
+@query("""select count(*) as total, count(*) filter (o) as todo, count(*) - count(*) filter (o) as done
+from (select bool_or(coalesce(quality, 0) <> 1) as o from documents left join labels using (doc_id) where text is not null group by text, lang)""")
+def progress_counts(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    d = d.join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return report.key_progress(d, ["h", "n", "lang"], F.coalesce(F.col("quality") == 1, F.lit(False)))
+
+
+@query("""select doc_id, greatest(1, length(text) // 3 + 1) as tokens, r as ratio, greatest(1, cast(floor((8192 - 220 - 0) / (1 + r) * 0.92) as bigint)) as budget
+from (select doc_id, text, case lang when 'de' then 1.5::double when 'fr' then 1.6::double else 1.2::double end as r from documents) where text is not null""")
+def token_budget(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null")
+    language = F.when(F.col("lang") == "de", "Russian").when(F.col("lang") == "fr", "Korean").otherwise("English")
+    ratio = text.output_ratio(language)
+    return d.select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"), ratio.alias("ratio"), text.input_budget(F.lit(8192), F.lit(0), ratio).alias("budget"))
+
+
+@query("""with recursive x as (select source, doc_id, greatest(1, length(coalesce(text, '')) // 3 + 1) + 1 + 12 as c, row_number() over (partition by source order by doc_id) as rn from documents),
+r as (select source, doc_id, rn, c as u, 1 as n, 0::bigint as b from x where rn = 1 union all
+select x.source, x.doc_id, x.rn, case when r.n >= 30 or r.u + x.c > 2933 then x.c else r.u + x.c end, case when r.n >= 30 or r.u + x.c > 2933 then 1 else r.n + 1 end, case when r.n >= 30 or r.u + x.c > 2933 then r.b + 1 else r.b end
+from r join x on x.source = r.source and x.rn = r.rn + 1)
+select source, doc_id, b as batch from r""")
+def greedy_batches(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    d = _docs(spark, sf_dir).select("source", "doc_id", text.item_cost(t, F.lit("")).alias("cost"))
+    return ordered.greedy_batches(d, "source", "doc_id", "cost", 2933, 30)
+
+
+@query("""select count(*) as files, count(*) filter (n < 5) as small, count(*) filter (n < 5) >= 8 and count(*) filter (n < 5) >= count(*) * 0.7 as together
+from (select count(*) as n from documents group by source, lang)""")
+def small_file_rule(spark, sf_dir):
+    return report.small_files(_t(spark, sf_dir, "documents"), ["source", "lang"])
+
+
+@query("select user_id, round(list_reduce(list(value order by ts, event_id), lambda a, x: a * (1 - 0.4::double) + x * 0.4::double), 6) as ema, count(*) as samples from events group by user_id")
+def ema_calibration(spark, sf_dir):
+    e = ordered.ema(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return e.select("user_id", F.round("ema", 6).alias("ema"), "samples")
+
+
+@query("select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 21599999999 preceding and current row) as in_window from events")
+def rate_window(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", ordered.window_count(["user_id"], 21600).alias("in_window"))
+
+
+@query("select event_id, gap from (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as gap from events) where gap < 600000000")
+def pacing_violations(spark, sf_dir):
+    from pyspark.sql import Window
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _t(spark, sf_dir, "events").select("event_id", gap.alias("gap")).filter("gap < 600000000")
+
+
+_MESSAGE = "event_type || case event_id % 7 when 0 then ' HTTP 429 Too Many Requests' when 1 then ' 401 Unauthorized' when 2 then ' Failed to connect' when 3 then ' quota exceeded, invalid api key' when 4 then ' billing' when 5 then ' SSL error' else ' done' end"
+
+
+@query(f"""select event_id, case when {_HAS('m', predicates.RATE_MARKERS)} then 'rate' when {_HAS('m', predicates.AUTH_MARKERS)} then 'auth' else 'other' end as error_class,
+not {_HAS('m', predicates.CONNECTION_MARKERS)} as reached from (select event_id, lower({_MESSAGE}) as m from events)""")
+def error_classes(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.expr(_MESSAGE).alias("m"))
+    return e.select("event_id", predicates.error_class(F.col("m")).alias("error_class"), predicates.reached_server(F.col("m")).alias("reached"))
+
+
+@query("""select source as unit, count(*) as lines, count(*) filter (length(text) >= 3000) as long_lines, max(length(text)) as longest, substring(arg_max(text, length(text) * 10000000000 - doc_id), 1, 120) as sample,
+case when count(*) filter (length(text) >= 3000) * 4 > count(*) then 'high' when count(*) filter (length(text) >= 3000) > 0 then 'low' else 'none' end as verdict from documents where text is not null group by source""")
+def risk_report(spark, sf_dir):
+    return report.risk_report(_docs(spark, sf_dir).filter("text is not null"), "source", "text", "doc_id")
+
+
+@query(r"""select page_id, kind, count(*) as tokens, sum(length(token))::bigint as chars from (select page_id, kind, trim(regexp_replace(regexp_replace(raw, '^\[\[|\]\]$', '', 'g'), '[\s]+', ' ', 'g')) as token from
+(select page_id, raw, case when starts_with(raw, '[[') then 'link' when starts_with(raw, '<<') then 'macro' when starts_with(raw, '<') then 'tag' else 'text' end as kind from
+(select page_id, unnest(regexp_extract_all(html, '(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<<.*?>>|<[^>]*>|\[\[[^\]]*\]\]|[^<\[]+|[<\[]')) as raw from pages)))
+where kind <> 'tag' and regexp_matches(token, '[a-zA-Zа-яА-Я]') group by page_id, kind""")
+def html_tokens(spark, sf_dir):
+    t = markup.markup_tokens(_t(spark, sf_dir, "pages"), "page_id", "html")
+    return t.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("tokens"), F.sum(F.length("token")).alias("chars"))
+
+
+def _sql_tokens(c, k):
+    return f"list_sort(regexp_extract_all({c}, '{text.TOKENS[k]}'))"
+
+
+@query("select doc_id, list_filter([" + ", ".join(f"case when {_sql_tokens('a', k)} <> {_sql_tokens('b', k)} then '{k}' end" for k in text.TOKENS) + """], lambda x: x is not null) as violations
+from (select doc_id, '[v' || doc_id % 3 || '] {b}x{/b} 5%d ' || lang as a, '[v' || doc_id % 2 || '] {b}x' || case when doc_id % 5 = 0 then '{/b}' else '' end || ' 5%' || case when doc_id % 7 = 0 then 's' else 'd' end as b from documents)""")
+def token_multiset_check(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr("'[v' || doc_id % 3 || '] {b}x{/b} 5%d ' || lang").alias("a"), F.expr("'[v' || doc_id % 2 || '] {b}x' || case when doc_id % 5 = 0 then '{/b}' else '' end || ' 5%' || case when doc_id % 7 = 0 then 's' else 'd' end").alias("b"))
+    return d.select("doc_id", text.token_violations(F.col("a"), F.col("b")).alias("violations"))
+
+
+@query("select event_id, unnest(json_keys(props)) as path, json_extract_string(props, '$.k') as value from events where props is not null")
+def json_flatten(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("props is not null").select("event_id", F.explode(markup.map_leaves(F.col("props"))).alias("kv"))
+    return e.select("event_id", F.col("kv.key").alias("path"), F.col("kv.value").alias("value"))
+
+
+@query("""select doc_id, coalesce(json_extract_string(j, '$.items[0].text'), json_extract_string(j, '$.text')) as translated from
+(select doc_id, case doc_id % 3 when 0 then '{"items": [{"id": "a", "text": "' || source || '"}]}' when 1 then '{"id": "a", "text": "' || lang || '"}' else '{"other": 1}' end as j from documents)""")
+def reply_parse(spark, sf_dir):
+    fence = F.expr("""case doc_id % 3 when 0 then '```json\n{"items": [{"id": "a", "text": "' || source || '"}]}\n```' when 1 then 'Here: {"id": "a", "text": "' || lang || '"} done' else '{"other": 1}' end""")
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(fence, r"(?s)(\{.*\})", 1).alias("j"))
+    items, flat = F.from_json("j", "items array<struct<id:string,text:string>>"), F.from_json("j", "id string, text string")
+    return d.select("doc_id", F.coalesce(F.get(items["items"], F.lit(0))["text"], flat["text"]).alias("translated"))
+
+
+@query("select d.doc_id, c.v as cached, c.v is not null as hit from documents d left join (select doc_id, doc_id % 3 as version, 'q' || quality::varchar as v from labels) c on c.doc_id = d.doc_id and c.version = d.doc_id % 2")
+def cache_split(spark, sf_dir):
+    units = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2).alias("version"))
+    cache = _t(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 3).alias("version"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("v"))
+    return reconcile.cache_split(units, cache, ["doc_id", "version"], "v").select("doc_id", "cached", "hit")
+
+
+@query(r"select doc_id, list_sum(list_transform(w, lambda x: length(x)))::bigint as foreign_chars, len(w) as foreign_words from (select doc_id, regexp_extract_all(regexp_replace(text, '\{[^}]*\}|\[[^\]]*\]', '', 'g'), '[a-zA-Z]*[à-öø-ÿ]+[a-zA-Zà-öø-ÿ]*') as w from documents where lang = 'en' and text is not null) where len(w) > 0")
+def foreign_words(spark, sf_dir):
+    bare = F.regexp_replace("text", r"\{[^}]*\}|\[[^\]]*\]", "")
+    d = _docs(spark, sf_dir).filter("lang = 'en' and text is not null").select("doc_id", F.regexp_extract_all(bare, F.lit("[a-zA-Z]*[à-öø-ÿ]+[a-zA-Zà-öø-ÿ]*"), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    total = F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return d.select("doc_id", total.alias("foreign_chars"), F.size("w").cast("bigint").alias("foreign_words"))
+
+
+@query("select doc_id, source from documents where contains(lower(text), lower('Licensed')) or contains(lower(source), lower('Licensed')) order by doc_id offset 5 limit 500")
+def search_page(spark, sf_dir):
+    """The second-and-later rows of a page of a search: the limit is the feature."""
+    hit = F.lower("text").contains("licensed") | F.lower("source").contains("licensed")
+    return _docs(spark, sf_dir).filter(hit).select("doc_id", "source").orderBy("doc_id").offset(5).limit(500)
+
+
+@query("""select key, origin, chars from (select *, row_number() over (partition by key order by priority) as rn from
+(select doc_id as key, 'loose' as origin, 0 as priority, length(text) as chars from documents where doc_id % 2 = 0 union all
+select item_id, 'archive', 1, length(text) from benchmark union all select page_id, 'page', 2, length(url) from pages)) where rn = 1""")
+def priority_union(spark, sf_dir):
+    part = lambda t, k, o, c: _t(spark, sf_dir, t).select(F.col(k).alias("key"), F.lit(o).alias("origin"), F.length(c).cast("bigint").alias("chars"))
+    d = _t(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.lit("loose").alias("origin"), F.length("text").cast("bigint").alias("chars"))
+    return reconcile.priority_union(d, part("benchmark", "item_id", "archive", "text"), part("pages", "page_id", "page", "url"), key="key").select("key", "origin", "chars")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def missing_items(spark, sf_dir):
+    return reconcile.missing(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("select source as unit, sha256(string_agg(line, chr(10) order by line)) as fingerprint from (select source, lang || ':' || n_chars::varchar || ':' || doc_id::varchar as line from documents) group by source")
+def fingerprint(spark, sf_dir):
+    line = F.concat_ws(":", "lang", F.col("n_chars").cast("string"), F.col("doc_id").cast("string"))
+    return report.fingerprint(_t(spark, sf_dir, "documents"), "source", line)
+
+
+@query("select conv_id, turn, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as section from conversations")
+def section_carry_forward(spark, sf_dir):
+    head = F.when(F.col("role") == "user", F.col("turn"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", ordered.carry_forward(head, ["conv_id"], ["turn"]).alias("section"))
+
+
+@query("""select c_custkey, coalesce(case when c_acctbal > 5000 then c_mktsegment end, case when n_nationkey % 2 = 0 then n_name end, r_name) as value, case when c_acctbal > 5000 then 0 when n_nationkey % 2 = 0 then 1 else 2 end as depth
+from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def inherit_nearest(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = _t(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    own, parent = F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
+    return c.select("c_custkey", F.coalesce(own, parent, "r_name").alias("value"), F.when(own.isNotNull(), 0).when(parent.isNotNull(), 1).otherwise(2).alias("depth"))
+
+
+@query("select l_orderkey, o as at, n as chars, coalesce(lag(o + n) over (partition by l_orderkey order by o, n) > o, false) as overlap from (select *, cast(l_quantity as bigint) as n, l_linenumber::bigint * 20 as o from lineitem)")
+def edit_overlaps(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem").withColumn("n", F.col("l_quantity").cast("bigint")).withColumn("o", F.col("l_linenumber").cast("bigint") * 20)
+    return l.select("l_orderkey", F.col("o").alias("at"), F.col("n").alias("chars"), ordered.overlaps(F.col("o"), F.col("n"), ["l_orderkey"]).alias("overlap"))
+
+
+@query("""select doc_id, case when regexp_matches(text, '[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{AC00}-\\x{D7AF}]') then 'cjk' when regexp_matches(text, '[\\x{0600}-\\x{06FF}]') then 'arabic' when regexp_matches(text, '[\\x{0590}-\\x{05FF}]') then 'hebrew'
+when regexp_matches(text, '[\\x{0E00}-\\x{0E7F}]') then 'thai' when regexp_matches(text, '[\\x{0900}-\\x{097F}]') then 'devanagari' when regexp_matches(text, '[\\x{0400}-\\x{04FF}]') then 'cyrillic' else 'latin' end as script from documents where text is not null""")
+def script_detection(spark, sf_dir):
+    return _docs(spark, sf_dir).filter("text is not null").select("doc_id", text.script_of(F.col("text")).alias("script"))
+
+
+@query("""select date_trunc('hour', ts) as hour, event_type, count(*) as events, sum(cast(round(value * 100) as bigint))::bigint as cents from events group by 1, 2""")
+def progress_stream(spark, sf_dir):
+    """A stream over the table's files, run until all of them are read."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
+    return progress.run_available(spark, f"{sf_dir}/events.parquet", f"{base}/progress-{uuid.uuid4().hex}")
