@@ -6,10 +6,11 @@ which shingles two classes or more have; summed per class, these partial overlap
 threshold of their shingles with all others together, and these leave. For the rest, the shared shingles with their document
 frequencies come back from the fragments; in order of frequency they give the prefix within which linked classes must meet.
 
-Pairs are not formed for all members of a posting list. First each member is paired with one leader of its list; the links so
-found join classes to components. Then only members that aren't in their list's main component are paired, with members of
+Pairs are not formed for all members of a posting list. First each member is paired with one leader of its list, the class
+with the fewest shingles of its own and so the likeliest partner; the links so found join classes to components. Then only members that aren't in their list's main component are paired, with members of
 other components, so that no link between two components is missed and a group of like documents costs as many pairs as
-members. Pairs are decided by their overlap, again counted per fragment (the shingles are kept by fragment) and summed.
+members; a pair is formed at the first shingle of both prefixes only, and only if parities of the two sets do not already show
+too many differences. Pairs are decided by their overlap, again counted per fragment (the shingles are kept by fragment) and summed.
 
 A shingle is a fragment number and 40 more bits of a 64-bit hash. Two unequal shingles of a pair of documents of 1,000 words count
 as one with a probability under 1e-7.
@@ -34,6 +35,8 @@ from corpusloom.llm.components import connected_components
 #: Shingles a fragment should have at most.
 FRAGMENT = 3_000_000
 _BATCH_BYTES = 4 << 20
+#: Words of 64 bits of a set's parities: bit i tells whether the number of its shingles with hash i is odd.
+PARITY = 8
 
 
 def _sets(text: pa.Array, size: int):
@@ -133,7 +136,7 @@ def _prefixes(percent: int):
     def run(batches):
         for batch in batches:
             cls, n, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            sets, prefixes = [], []
+            sets, prefixes, parities = [], [], []
             for size, part in zip(n, parts):
                 part.sort(key=lambda p: p["fragment"])
                 h = np.concatenate([unpack5(p["shingles"]) for p in part])
@@ -144,7 +147,9 @@ def _prefixes(percent: int):
                 order = np.lexsort((full, df))[: len(full) - need + 1]
                 sets.append(np.sort(full).tobytes())
                 prefixes.append(full[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays([cls, batch.column(1), batch.column(2), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["cls", "n", "many", "shingles", "prefix"])
+                odd = np.bincount((wordhash.mix(full) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([cls, batch.column(1), batch.column(2), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["cls", "n", "many", "shingles", "prefix", "parity"])
 
     return run
 
@@ -188,24 +193,30 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = parts.groupBy("fragment").applyInArrow(_shared, _SHARED)
     whole = shared.groupBy("cls", "n").agg(F.sum("many").alias("many"), F.collect_list(F.struct("fragment", "shingles", "df")).alias("parts"))
     whole = whole.filter(F.expr(f"100 * many >= {percent} * n")).select("cls", "n", "many", "parts")
-    classes = stored(whole.mapInArrow(_prefixes(percent), "cls long, n long, many long, shingles binary, prefix array<long>"), "shared")
-    posts = classes.select(F.explode("prefix").alias("shingle"), "cls", "n", "many")
+    classes = stored(whole.mapInArrow(_prefixes(percent), "cls long, n long, many long, shingles binary, prefix array<long>, parity array<long>"), "shared")
+    before = F.expr("concat(array(cast(null as bigint)), slice(prefix, 1, size(prefix) - 1))").alias("before")
+    posts = classes.select(F.explode(F.arrays_zip("prefix", before)).alias("p"), "cls", "n", "many").select(F.col("p.prefix").alias("shingle"), F.col("p.before").alias("before"), "cls", "n", "many")
     # an overlap is at most the lesser number of shared shingles
     near = f"100 * least(many, also) >= {percent} * (n + m - least(many, also))"
 
-    leaders = posts.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "many")).alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    leaders = posts.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("many")).alias("own"), "n", "cls", "many")).alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     stars = posts.join(leaders, "shingle").select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), "n", "many", F.col("l.n").alias("m"), F.col("l.many").alias("also"))
     stars = stars.filter("a != b").filter(near).select("a", "b").distinct()
     first = stored(_links(stars, classes, percent), "links")
     labels = connected_components(first)
 
     comp = labels.select(F.col("node").alias("cls"), "label")
-    posts = posts.join(comp, "cls", "left").select("shingle", "cls", "n", "many", F.coalesce("label", "cls").alias("label"))
+    posts = posts.join(comp, "cls", "left").select("shingle", "before", "cls", "n", "many", F.coalesce("label", "cls").alias("label"))
     sizes = posts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
     mains = sizes.groupBy("shingle").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("shingle", "main")
-    posts = stored(posts.join(mains, "shingle"), "postings")
-    probes = posts.filter("label != main").select("shingle", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("many").alias("also"), F.col("label").alias("la"))
-    cross = probes.join(posts, "shingle").filter("la != label").filter("label = main or a < cls").filter(near)
+    parities = classes.select("cls", *[F.get("parity", F.lit(i)).alias(f"x{i}") for i in range(PARITY)])
+    posts = stored(posts.join(mains, "shingle").join(parities, "cls"), "postings")
+    # a pair that shares the shingle before too, in the common order of prefixes, is formed there
+    probes = posts.filter("label != main").select("shingle", F.col("before").alias("prior"), F.col("cls").alias("a"), F.col("n").alias("m"), F.col("many").alias("also"), F.col("label").alias("la"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(PARITY)])
+    # sets differ by their own shingles and by at least as many shared ones as parities
+    differ = f"n - many + m - also + {' + '.join(f'bit_count(x{i} ^ y{i})' for i in range(PARITY))}"
+    alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + m)"
+    cross = probes.join(posts, "shingle").filter("la != label").filter("label = main or a < cls").filter(near).filter("before is null or prior is null or before != prior").filter(alike)
     cross = cross.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _links(cross, classes, percent)
