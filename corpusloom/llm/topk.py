@@ -39,44 +39,55 @@ class Lists:
     """The sorted lists of a block: ranks of each value in its dimension, from above and from below."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, m = ids, x.astype(np.float64), len(ids)
+        self.ids, self.x, m = ids, x, len(ids)
         order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, order, axis=0)
+        self.sorted = np.take_along_axis(x, order, axis=0)
         self.from_below = np.empty(x.shape, np.int32)
         np.put_along_axis(self.from_below, order, np.arange(m, dtype=np.int32)[:, None], axis=0)
         self.from_above = m - 1 - self.from_below
 
-    def best(self, query: np.ndarray, own: int, k: int, few: int, step: int):
-        """(identifiers, scores) of the k best but own, by score and then identifier."""
-        m = len(self.ids)
-        ascending = query < 0
-        place = np.where(ascending, self.from_below, self.from_above)
-        worst = query * np.where(ascending, self.sorted[-1], self.sorted[0])
-        gain = self.x * query - worst
-        other = self.ids != own
-        need, depth = min(k, int(other.sum())), 0
-        if not need:
-            return self.ids[:0], np.zeros(0)
-        while True:
+    def exact_type(self, queries: np.ndarray) -> type:
+        """float32 where every bound is an integer that it holds exactly, else float64."""
+        most = 4 * self.x.shape[1] * int(np.abs(self.x).max()) * int(np.abs(queries).max())
+        return np.float32 if most < 1 << 24 else np.float64
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, few: int, step: int):
+        """(place of the query, identifier, score) of each query's k best but own; all queries read their lists in step, so bounds are matrix products."""
+        kind, m = self.exact_type(queries), len(self.ids)
+        lowest, highest = self.sorted[0], self.sorted[-1]
+        over, under = (self.x - lowest).astype(kind), (self.x - highest).astype(kind)
+        up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
+        worst = (up @ lowest.astype(kind) + down @ highest.astype(kind))[None, :]
+        going, depth, out = np.arange(len(queries)), 0, []
+        while len(going):
             depth = min(depth + step, m)
-            read = place < depth
-            lower = (gain * read).sum(axis=1) + worst.sum()
-            at = query * np.where(ascending, self.sorted[depth - 1], self.sorted[m - depth])
-            upper = lower + (~read) @ (at - worst)
-            bar = np.partition(lower[other], -need)[-need]
-            left = other & (upper >= bar)
-            if depth == m or int(left.sum()) <= few:
-                break
-        rows = np.flatnonzero(left)
-        scores = self.x[rows] @ query
-        order = np.lexsort((self.ids[rows], -scores))[:need]
-        return self.ids[rows][order], scores[order]
+            above, below = self.from_above < depth, self.from_below < depth
+            u, d = up[going].T, down[going].T
+            lower = (over * above) @ u
+            lower += (under * below) @ d
+            lower += worst[:, going]
+            # what unread lists can still add: no more than the value that each has reached
+            upper = (~above).astype(kind) @ (u * (self.sorted[m - depth] - lowest).astype(kind)[:, None])
+            upper += (~below).astype(kind) @ (d * (self.sorted[depth - 1] - highest).astype(kind)[:, None])
+            upper += lower
+            row, column = np.nonzero(self.ids[:, None] == own[going][None, :])
+            lower[row, column] = upper[row, column] = -np.inf
+            bar = np.partition(lower, m - min(k, m), axis=0)[m - min(k, m)]
+            left = (upper >= bar[None, :]) & (upper > -np.inf)
+            done = np.ones(len(going), bool) if depth == m else left.sum(axis=0) <= few
+            for j in np.flatnonzero(done):
+                rows = np.flatnonzero(left[:, j])
+                scores = self.x[rows] @ queries[going[j]]
+                order = np.lexsort((self.ids[rows], -scores))[:k]
+                out.append((np.full(len(order), going[j]), self.ids[rows][order], scores[order]))
+            going = going[~done]
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
 def _packed(table: pa.Table) -> pa.Table:
     """One block as one row: identifiers and components as bytes, in order of identifiers."""
     ids = table.column("vec_id").to_numpy()
-    x = np.array(table.column("x").to_pylist(), np.int64)
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     order = np.lexsort((*x.T[::-1], ids))
     return pa.table([table.column("block")[:1], table.column("width")[:1], pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([x[order].astype("<i8").tobytes()], pa.binary())], names=["block", "width", "ids", "x"])
 
@@ -97,12 +108,9 @@ def _search(k: int, few: int, parts: int):
                 width = get("width", r).as_py()
                 read = lambda name: np.frombuffer(get(name, r).as_buffer(), "<i8")  # noqa: E731, B023
                 lists = Lists(read("ids"), read("x").reshape(-1, width))
-                queries, out = read("query_ids"), []
-                for own, q in zip(queries, read("q").reshape(-1, width).astype(np.float64)):
-                    ids, scores = lists.best(q, own, k, few, max(1, len(lists.ids) // parts))
-                    out += [(own, i, int(s)) for i, s in zip(ids, scores)]
-                cols = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                own = read("query_ids")
+                at, ids, scores = lists.best(read("q").reshape(-1, width), own, k, few, max(1, len(lists.ids) // parts))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[at], ids, scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
