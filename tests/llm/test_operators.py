@@ -217,3 +217,17 @@ def test_pipeline_equals_its_parts(spark):
                 if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                     label[i] = label[j] = min(label[i], label[j])
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {i for i in stay if label[i] == i}
+
+
+def test_topk_lists_equal_brute_force_in_blocks_of_queries():
+    """Ties, repeated identifiers, fewer rows than k, and values beyond what float32 holds."""
+    from corpusloom.llm.topk import Lists
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        m, d, k, most = int(rng.integers(1, 60)), int(rng.integers(1, 6)), int(rng.integers(1, 7)), int(rng.choice([0, 3, 300, 10**6]))
+        x, ids = rng.integers(-most, most + 1, (m, d)), rng.integers(0, 2 * m, m)
+        queries, own = rng.integers(-most, most + 1, (7, d)), rng.integers(0, 2 * m, 7)
+        found = Lists(ids, x).best(queries, own, k, int(rng.integers(0, 9)), int(rng.integers(1, m + 1)))
+        expected = [(j, *t) for j in range(7) for t in sorted((-int(v @ queries[j]), int(i)) for i, v in zip(ids, x) if i != own[j])[:k]]
+        assert sorted((j, -s, i) for j, i, s in zip(*(c.tolist() for c in found))) == expected
