@@ -231,3 +231,18 @@ def test_topk_lists_equal_brute_force_in_blocks_of_queries():
         found = Lists(ids, x).best(queries, own, k, int(rng.integers(0, 9)), int(rng.integers(1, m + 1)))
         expected = [(j, *t) for j in range(7) for t in sorted((-int(v @ queries[j]), int(i)) for i, v in zip(ids, x) if i != own[j])[:k]]
         assert sorted((j, -s, i) for j, i, s in zip(*(c.tolist() for c in found))) == expected
+
+
+def test_passages_between_hub_and_neighbour(spark):
+    """All texts of a set share a line of 40 words, only the third and the last also the 20 words after it."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: ["u%d" % i for i in rng.integers(0, 10**9, n)]
+    rows, want = [], set()
+    for k in range(8):
+        line, more = fresh(40), fresh(20)
+        for i in range(6):
+            both = i in (2, 5)
+            rows.append((10 * k + i, " ".join(fresh(70) + line + (more if both else fresh(20)) + fresh(70))))
+        want.add((10 * k + 5, 10 * k + 2, 70, 130))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.match_doc_id, r.start_word, r.end_word) for r in got} == want
