@@ -246,3 +246,20 @@ def test_passages_between_hub_and_neighbour(spark):
         want.add((10 * k + 5, 10 * k + 2, 70, 130))
     got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.match_doc_id, r.start_word, r.end_word) for r in got} == want
+
+
+def test_passages_within_one_sparse_run():
+    """Two exact passages and a near one, joined by words of which one shingle in ten is shared."""
+    rng = np.random.default_rng(4)
+    n = lambda k: rng.integers(0, 2**32, k, dtype=np.uint32)
+    link, near = [n(1) for _ in range(40)], n(60)
+    sparse = lambda k: np.concatenate([np.concatenate([n(9), link[k + i]]) for i in range(10)] + [n(9)])
+    p, q = n(50), n(80)
+    changed = near.copy()
+    changed[30:35] = n(5)
+    x = np.concatenate([p, sparse(0), near, sparse(10), q])
+    y = np.concatenate([p, sparse(0), changed, sparse(10), q])
+    got = [(s, e) for s, e, *_ in passages.repeats(x, y, 46, 80, 12)]
+    assert len(got) == 3
+    for (s, e), (lo, hi) in zip(got, ((0, 50), (159, 219), (328, 408))):
+        assert s <= lo + 9 and abs(s - lo) <= 12 and e >= hi and e - hi <= 12
