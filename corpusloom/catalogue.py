@@ -358,3 +358,33 @@ def progress_stream(spark, sf_dir):
     """A stream over the table's files, run until all of them are read."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
     return progress.run_available(spark, f"{sf_dir}/events.parquet", f"{base}/progress-{uuid.uuid4().hex}")
+
+
+# The four queries above that see a part of their tables or texts, over all of them.
+@query(_GAME.replace(_WORD, "text"))
+def game_text_filter_whole(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null").select(F.col("doc_id").alias("i"), F.col("text").alias("s"))
+    p = _t(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000000).alias("i"), F.col("p_name").alias("s"))
+    return d.unionByName(p).select("i", "s", predicates.game_text(F.col("s")).alias("game_text"))
+
+
+@query(_TECH.replace(_WORD, "text"))
+def technical_filter_whole(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("i"), F.col("url").alias("s"))
+    d = _docs(spark, sf_dir).filter("text is not null").select((F.col("doc_id") + 1000000000).alias("i"), F.col("text").alias("s"))
+    s = F.col("s")
+    return p.unionByName(d).select("i", predicates.script_technical(s).alias("script_technical"), predicates.code_technical(s).alias("code_technical"), predicates.definition_text(s).alias("definition_text"), predicates.localised_text(s).alias("localised_text"))
+
+
+@query("select doc_id, list_filter([" + ", ".join(f"case when {_sql_tokens('text', k)} <> {_sql_tokens('upper(text)', k)} then '{k}' end" for k in text.TOKENS) + "], lambda x: x is not null) as violations from documents where text is not null")
+def token_multiset_check_whole(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null")
+    return d.select("doc_id", text.token_violations(F.col("text"), F.upper("text")).alias("violations"))
+
+
+@query("""select key, origin, chars from (select *, row_number() over (partition by key order by priority) as rn from
+(select doc_id as key, 'loose' as origin, 0 as priority, length(text) as chars from documents union all
+select item_id, 'archive', 1, length(text) from benchmark union all select page_id, 'page', 2, length(url) from pages)) where rn = 1""")
+def priority_union_whole(spark, sf_dir):
+    part = lambda t, k, o, c: _t(spark, sf_dir, t).select(F.col(k).alias("key"), F.lit(o).alias("origin"), F.length(c).cast("bigint").alias("chars"))
+    return reconcile.priority_union(part("documents", "doc_id", "loose", "text"), part("benchmark", "item_id", "archive", "text"), part("pages", "page_id", "page", "url"), key="key").select("key", "origin", "chars")
