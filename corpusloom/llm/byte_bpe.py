@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding: ranked merges folded over byte arrays by Spark's higher-order functions.
 
-Every task reads its texts in blocks of whole documents. Splitting a block's texts by the pattern gives the words that are new
-to the task and, for each text, the numbers of its words in order; this is one row. In the JVM, each new word is folded once:
-its pieces start as single bytes (two hex digits each), and each step joins the adjacent pair of the least rank, the leftmost
-of equal ones, with the ranks in a literal map (cut into small maps by a hash, as a map is searched from its start). Decoding
-puts together the binary pieces of a word's ids. The rows then go on, in order and within the task, to where texts take their
-words' ids by number. Nothing is shuffled; after KEEP words the numbering begins anew, so memory stays bounded.
+Texts are read in blocks of whole documents. Splitting a block's texts by the pattern gives the block's distinct words and, for
+each text, the numbers of its words in order. The words go by hash to a slot, where each distinct word of the whole corpus is
+folded once, in the JVM: its pieces start as single bytes (two hex digits each), and each step joins the adjacent pair of the
+least rank, with the ranks in a literal map (cut into small maps by a hash, as a map is searched from its start). Decoding puts
+together the pieces of a word's ids. A word's ids and bytes then go back to the blocks that have it, once a block, and there
+texts take their words' ids by number.
 
-A word that is a piece itself takes its rank at once. Words of more than `MOST_BYTES` bytes, whose fold would take a time in the
-square of their length, are merged with a heap instead, with equal results.
+In words of over 64 bytes a step joins all places of the leftmost pair of the least rank at once where no other pair has that
+rank: as a piece is made of pieces of lesser ranks, a new pair never comes before the places that are still to be joined. So a
+long run of one letter takes few steps. A word that is a piece itself takes its rank at once.
 
 Defined results: null and empty texts have no ids; repeated rows are encoded each; a document of any length is one entry of a
 block; other columns are ignored; an empty table gives an empty result.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
 import re
 import zlib
@@ -26,17 +26,21 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import shuffle_parts, stored
 from corpusloom.llm.tokens import public_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: A block holds about so many characters, a task's numbering so many words.
-BLOCK_CHARS = 2 << 20
-KEEP = 500_000
-MOST_BYTES = 64
+#: A block holds about so many characters, a slot the words of about so many.
+BLOCK_CHARS = 16 << 20
+SLOT_CHARS = 32 << 20
 _GROUPS = 1 << 14
+_PLACES = 1 << 31
+#: Up to so many hex digits a step joins one place, beyond that all places of its pair; ids are the same.
+_SHORT = 128
 
 
 def public_pattern() -> str:
@@ -50,29 +54,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word, by a heap of adjacent pairs; takes n log n steps."""
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts at i
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        _, i, mid, stop = heapq.heappop(heap)
-        if not (alive[i] and end[i] == mid and mid < n and alive[mid] and end[mid] == stop):
-            continue
-        end[i], alive[mid] = stop, False
-        if stop < n:
-            before[stop] = i
-            if (r := ranks.get(word[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, stop, end[stop]))
-        if (p := before[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, i, stop))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
 def rank_maps(ranks: dict[bytes, int]) -> Column:
     """A literal array of maps: entry i has the ranks of the pieces (hex digits) whose crc32 is i modulo _GROUPS."""
     groups: list[dict] = [{} for _ in range(_GROUPS)]
@@ -95,39 +76,45 @@ def _let(value: Column, then) -> Column:
 
 
 def encoded(word: Column, maps: Column) -> Column:
-    """Ids of a word: a fold over its bytes."""
+    """Ids of a word: a fold over its bytes. The map is bound once, so that a task holds it once."""
+    return _let(maps, lambda m: _let(F.hex(F.encode(word, "UTF-8")), lambda digits: _folded(digits, m)))
 
+
+def _folded(digits: Column, maps: Column) -> Column:
     def rank(digits: Column) -> Column:
         return F.try_element_at(F.get(maps, (F.crc32(digits.cast("binary")) % _GROUPS).cast("int")), digits)
 
-    def best(p: Column) -> Column:
-        """rank * 1024 + place of the pair to join, null if there is none."""
-        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(p[i - 1], p[i])) * 1024 + i)
-        return F.when(F.size(p) > 1, F.array_min(pairs))
-
     def state(p: Column) -> Column:
-        return F.struct(p.alias("pieces"), best(p).alias("best"))
+        """The pieces, rank * _PLACES + place of each pair (null where it is no piece), and the least of these."""
+        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(p[i - 1], p[i])) * _PLACES + i)
+        return _let(F.when(F.size(p) > 1, pairs), lambda r: F.struct(p.alias("pieces"), r.alias("pairs"), F.array_min(r).alias("best")))
 
-    def step(s: Column, _: Column) -> Column:
+    def one(s: Column, i: Column) -> Column:
         p = s["pieces"]
+        return F.concat(F.slice(p, 1, i - 1), F.array(F.concat(p[i - 1], p[i])), F.slice(p, i + 2, F.size(p)))
 
-        def join(i: Column) -> Column:
-            return _let(F.concat(F.slice(p, 1, i - 1), F.array(F.concat(p[i - 1], p[i])), F.slice(p, i + 2, F.size(p))), state)
+    def every(s: Column, i: Column) -> Column:
+        """All places of the pair at once, left to right, if the rank has no other pair."""
+        p, of = s["pieces"], lambda x: F.floor(x / _PLACES)
+        others = F.exists(s["pairs"], lambda x: (of(x) == of(s["best"])) & (p[(x % _PLACES).cast("int") - 1] != p[i - 1]))
+        text = F.concat(F.lit(";"), F.array_join(p, ",;"), F.lit(","))
+        pair, whole = F.concat(F.lit(";"), p[i - 1], F.lit(",;"), p[i], F.lit(",")), F.concat(F.lit(";"), p[i - 1], p[i], F.lit(","))
+        return F.when(others, one(s, i)).otherwise(F.regexp_extract_all(F.replace(text, pair, whole), F.lit("[0-9A-F]+"), F.lit(0)))
 
-        return F.when(s["best"].isNull(), s).otherwise(_let((s["best"] % 1024).cast("int"), join))
+    def fold(join) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            return F.when(s["best"].isNull(), s).otherwise(_let((s["best"] % _PLACES).cast("int"), lambda i: _let(join(s, i), state)))
 
-    def fold(digits: Column) -> Column:
         single = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))
         steps = F.sequence(F.lit(1), F.greatest(F.length(digits) / 2 - 1, F.lit(1)).cast("int"))
-        pieces = F.aggregate(steps, _let(single, state), step, lambda s: s["pieces"])
-        return _let(rank(digits), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(pieces, rank)))
+        return F.transform(F.aggregate(steps, _let(single, state), step, lambda s: s["pieces"]), rank)
 
-    return _let(F.hex(F.encode(word, "UTF-8")), fold)
+    return _let(rank(digits), lambda r: F.when(r.isNotNull(), F.array(r)).when(F.length(digits) <= _SHORT, fold(one)).otherwise(fold(every)))
 
 
 def decoded(ids: Column, table: Column) -> Column:
-    """The bytes of a word's ids, piece after piece."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i.cast("int"))), ""))
+    """The hex digits of the bytes of a word's ids, piece after piece."""
+    return F.array_join(F.transform(ids, lambda i: F.get(table, i.cast("int"))), "")
 
 
 #: White space other than single blanks and newlines inside a run; texts with it are split as a whole.
@@ -135,67 +122,63 @@ _ODD = re.compile("[\\x1c-\\x1f\\t\\r\\v\\f]|  | \\n|\\n |\\A[ \\n]|[ \\n]\\Z|[^
 
 
 class _Numbers:
-    """Numbers of a task's words, and of the words of each run between single blanks."""
+    """Numbers of a block's words, and of the words of each run between single blanks."""
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], keep: int):
-        self.pattern, self.ranks, self.keep, self.generation = regex.compile(pattern), ranks, keep, -1
-        self.renew()
-
-    def renew(self) -> None:
-        self.words: dict[str, int] = {}
-        self.runs: dict[str, bytes] = {}
-        self.fresh, self.generation = [], self.generation + 1
+    def __init__(self, pattern: regex.Pattern):
+        self.pattern, self.words, self.runs, self.heads = pattern, {}, {}, {}
 
     def of(self, words: list[str]) -> bytes:
-        out = []
-        for w in words:
-            n = self.words.get(w)
-            if n is None:
-                n = self.words[w] = len(self.words)
-                self.fresh.append(w)
-            out.append(n)
-        return np.array(out, "<i4").tobytes()
+        known = self.words
+        return np.array([known.setdefault(w, len(known)) for w in words], "<i4").tobytes()
 
     def text(self, text: str) -> bytes:
         """Word numbers of a text. Where blanks stand alone, the runs between them are split each by itself, with the blank before."""
-        first, *rest = text.split(" ")
-        parts = [first, *[" " + r for r in rest]]
         if _ODD.search(text):
             return self.of(self.pattern.findall(text))
-        out = []
-        for part in parts:
-            raw = self.runs.get(part)
-            if raw is None:
-                raw = self.runs[part] = self.of(self.pattern.findall(part))
-            out.append(raw)
-        return b"".join(out)
+        first, *rest = text.split(" ")
+        if first not in self.heads:
+            self.heads[first] = self.of(self.pattern.findall(first))
+        out = list(map(self.runs.get, rest))
+        if None in out:
+            for i, raw in enumerate(out):
+                if raw is None:
+                    raw = self.runs.get(rest[i])  # may have come up earlier in this text
+                    out[i] = self.runs[rest[i]] = self.of(self.pattern.findall(" " + rest[i])) if raw is None else raw
+        return self.heads[first] + b"".join(out)
 
 
-_BLOCKS = "generation int, doc_ids array<bigint>, words array<string>, given array<array<bigint>>, numbers array<binary>"
-_BLOCK_TYPES = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.binary())]
+_BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, numbers binary, n_words int, parts array<struct<slot: int, at: array<int>, words: array<string>>>"
 
 
-def _split(pattern: str, ranks: dict[bytes, int], keep: int):
+def _split(pattern: str, slots: int, block_chars: int):
     def run(batches):
-        numbers, docs, held, size = _Numbers(pattern, ranks, keep), [], [], 0
+        from pyspark import TaskContext
+
+        compiled, block = regex.compile(pattern), TaskContext.get().partitionId() << 32
+        numbers, docs, held, size = _Numbers(compiled), [], [], 0
 
         def flush():
-            given = [merged(w.encode(), ranks) if len(w.encode()) > MOST_BYTES else None for w in numbers.fresh]
-            words = ["" if g is not None else w for w, g in zip(numbers.fresh, given)]
-            row = [numbers.generation, docs, words, given, held]
-            numbers.fresh = []
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES)], names=["generation", "doc_ids", "words", "given", "numbers"])
+            words = list(numbers.words)
+            slot = np.array([zlib.crc32(w.encode()) % slots for w in words], np.int32)
+            order = np.argsort(slot, kind="stable").astype(np.int32)
+            edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            offsets = pa.array(np.append(edge, len(words)).astype(np.int32))
+            at, sorted_words = pa.array(order), pa.array(words, pa.string()).take(pa.array(order))
+            parts = pa.StructArray.from_arrays([pa.array(slot[order][edge]), pa.ListArray.from_arrays(offsets, at), pa.ListArray.from_arrays(offsets, sorted_words)], ["slot", "at", "words"])
+            whole = lambda x, n: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
+            sizes = pa.array(np.array([len(h) // 4 for h in held], np.int32))
+            packed = zstandard.ZstdCompressor(1).compress(b"".join(held))
+            cols = [pa.array([block], pa.int64()), whole(pa.array(docs, pa.int64()), len(docs)), whole(sizes, len(docs)), pa.array([packed], pa.binary()), pa.array([len(words)], pa.int32()), whole(parts, len(parts))]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "numbers", "n_words", "parts"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(doc)
                 held.append(numbers.text(text or ""))
                 size += len(text or "")
-                if size >= BLOCK_CHARS:
+                if size >= block_chars:
                     yield flush()
-                    docs, held, size = [], [], 0
-                    if len(numbers.words) > keep:
-                        numbers.renew()
+                    numbers, docs, held, size, block = _Numbers(compiled), [], [], 0, block + 1
         if docs:
             yield flush()
 
@@ -203,40 +186,60 @@ def _split(pattern: str, ranks: dict[bytes, int], keep: int):
 
 
 def _assembled(batches):
-    generation, counts, ids, raws = -1, [], [], []
     for batch in batches:
+        cols = dict(zip(batch.schema.names, batch.columns))
         for r in range(batch.num_rows):
-            if (now := batch.column(0)[r].as_py()) != generation:
-                generation, counts, ids, raws = now, [], [], []
-            words = batch.column(2)[r].values
-            counts += words.field(0).to_pylist()
-            ids += words.field(1).to_pylist()
-            raws += words.field(2).to_pylist()
-            docs = batch.column(1)[r].values
+            n_words, docs = cols["n_words"][r].as_py(), cols["doc_ids"][r].values
+            ids, raws, counts = np.empty(n_words, object), np.empty(n_words, object), np.zeros(n_words, np.int64)
+            for part in cols["given"][r] if n_words else []:
+                at, data = part["at"].values.to_numpy(), part["bytes"].as_py()
+                mine = part["ids"].as_py().split(" ")
+                ends = np.cumsum(part["sizes"].values.to_numpy()).tolist()
+                ids[at], raws[at], counts[at] = mine, [data[a:b] for a, b in zip([0, *ends], ends)], [m.count(",") + 1 for m in mine]
+            ids, raws = ids.tolist(), raws.tolist()
+            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(cols["numbers"][r].as_py()), "<i4")
+            ends = np.cumsum(cols["sizes"][r].values.to_numpy()).tolist()
             n, id_hashes, text_hashes = [], [], []
-            for raw in batch.column(3)[r].values:
-                at = np.frombuffer(raw.as_buffer(), "<i4").tolist()
-                n.append(sum([counts[i] for i in at]))
-                id_hashes.append(hashlib.sha256(",".join([ids[i] for i in at]).encode()).hexdigest())
-                text_hashes.append(hashlib.sha256(b"".join([raws[i] for i in at])).hexdigest())
+            for a, b in zip([0, *ends], ends):
+                at = flat[a:b]
+                n.append(int(counts[at].sum()))
+                at = at.tolist()
+                id_hashes.append(hashlib.sha256(",".join(map(ids.__getitem__, at)).encode()).hexdigest())
+                text_hashes.append(hashlib.sha256(b"".join(map(raws.__getitem__, at))).hexdigest())
             yield pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encoded_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep: int = KEEP) -> DataFrame:
-    """Rows (generation, doc_ids, words: array of (n, ids, bytes), numbers)."""
-    ranks = load_ranks(path or public_path(VOCABULARY))
+def encoded_words(parts: DataFrame, ranks: dict[bytes, int], partitions: int) -> DataFrame:
+    """Rows (block, slot, at, ids, sizes, bytes) for rows (block, slot, at, words); every distinct word is folded once."""
     maps, table = rank_maps(ranks), piece_table(ranks)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(_split(pattern or public_pattern(), ranks, keep), _BLOCKS)
-
-    def word(w: Column, i: Column) -> Column:
-        given = F.get(F.col("given"), i)
-        ids = F.when(given.isNotNull(), given).otherwise(encoded(w, maps))
-        return _let(ids, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.array_join(x.cast("array<string>"), ",").alias("ids"), decoded(x, table).alias("bytes")))
-
-    return blocks.select("generation", "doc_ids", F.transform("words", word).alias("words"), "numbers")
-
-
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, keep: int = KEEP) -> DataFrame:
+    parts = parts.repartition(partitions, "slot")  # all that follows keeps to the slots
+    places = parts.select("slot", "block", F.inline(F.arrays_zip("at", F.col("words").alias("word"))))
+
+    def known(ids: Column) -> Column:
+        digits = _let(table, lambda t: decoded(ids, t))
+        return F.struct(F.array_join(ids.cast("array<string>"), ",").alias("ids"), digits.alias("digits"))
+
+    order = Window.partitionBy("word", "slot").orderBy("block")
+    first = places.withColumn("known", F.when(F.lag("block").over(order).isNull(), _let(encoded(F.col("word"), maps), known)))
+    every = first.withColumn("known", F.last("known", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lists = every.groupBy("slot", "block").agg(F.collect_list(F.struct("at", "known")).alias("x"))
+    return lists.select(
+        "block",
+        F.transform("x", lambda e: e["at"]).alias("at"),
+        F.array_join(F.transform("x", lambda e: e["known"]["ids"]), " ").alias("ids"),
+        F.transform("x", lambda e: (F.length(e["known"]["digits"]) / 2).cast("int")).alias("sizes"),
+        F.unhex(F.array_join(F.transform("x", lambda e: e["known"]["digits"]), "")).alias("bytes"),
+    )
+
+
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes that the ids decode to)."""
-    return encoded_blocks(docs, id_col, text_col, path, pattern, keep).mapInArrow(_assembled, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    spark, ranks = docs.sparkSession, load_ranks(path or public_path(VOCABULARY))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    slots = max(64, shuffle_parts(spark), -(-chars // SLOT_CHARS))
+    blocks = stored(rows.mapInArrow(_split(pattern or public_pattern(), slots, block_chars), _BLOCKS), "bpe-blocks")
+    parts = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.slot", "p.at", "p.words")
+    given = encoded_words(parts, ranks, min(slots, 20_000)).groupBy("block").agg(F.collect_list(F.struct("at", "ids", "sizes", "bytes")).alias("given"))
+    full = blocks.select("block", "doc_ids", "sizes", "numbers", "n_words").join(given, "block", "left")
+    return full.drop("block").mapInArrow(_assembled, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

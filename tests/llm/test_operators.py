@@ -182,13 +182,26 @@ def test_compact_windows_cover_every_run():
             assert any(a <= i and b >= j and m == at for a, m, b in zip(l, c, r))
 
 
-def test_byte_bpe(docs, empty):
+def tiktoken_rows(rows):
     import tiktoken
 
     enc = tiktoken.Encoding("own", pat_str=byte_bpe.public_pattern(), mergeable_ranks=byte_bpe.load_ranks(byte_bpe.public_path(byte_bpe.VOCABULARY)), special_tokens={})
-    want = sorted((r[0], len(x := enc.encode_ordinary(r[1] or "")), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in fixture())
-    assert sorted(tuple(r) for r in byte_bpe.encode_decode(docs).collect()) == want
+    return sorted((i, len(x := enc.encode_ordinary(t or "")), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
+def test_byte_bpe(docs, empty, spark):
+    assert sorted(tuple(r) for r in byte_bpe.encode_decode(docs, block_chars=6000).collect()) == tiktoken_rows((r[0], r[1]) for r in fixture())
     assert byte_bpe.encode_decode(empty).count() == 0
+    # words of more than 64 bytes: runs of one letter, of two, of all sorts
+    rng = np.random.default_rng(2)
+    rows = [(i, t) for i, t in enumerate(["a" * 301, "aab" * 90 + "a", "ab" * 200, "\u00e9" * 99, "".join(map(chr, rng.integers(97, 123, 400))), "".join(map(chr, rng.integers(0x4E00, 0x4F00, 90)))])]
+    assert sorted(tuple(r) for r in byte_bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == tiktoken_rows(rows)
+
+
+def test_a_piece_is_made_of_pieces_of_lesser_ranks():
+    """What lets a step join all places of a pair at once."""
+    ranks = byte_bpe.load_ranks(byte_bpe.public_path(byte_bpe.VOCABULARY))
+    assert all(any(max(ranks.get(p[:i], r), ranks.get(p[i:], r)) < r for i in range(1, len(p))) for p, r in ranks.items() if len(p) > 1)
 
 
 def test_word_hashes_do_not_depend_on_place():
