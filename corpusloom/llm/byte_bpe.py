@@ -3,9 +3,9 @@
 Texts are read in blocks of whole documents. Splitting a block's texts by the pattern gives the block's distinct words and, for
 each text, the numbers of its words in order. The words go by hash to a slot, where each distinct word of the whole corpus is
 folded once, in the JVM: its pieces start as single bytes (two hex digits each), and each step joins the adjacent pair of the
-least rank, with the ranks in a literal map (cut into small maps by a hash, as a map is searched from its start). Decoding puts
-together the pieces of a word's ids. A word's ids and bytes then go back to the blocks that have it, once a block, and there
-texts take their words' ids by number.
+least rank, with the ranks in a literal map (cut into small maps by a hash, as a map is searched from its start). A word's ids
+then go back to the blocks that have it, once a block; there decoding puts together the binary pieces of the ids, and texts take
+their words' ids and bytes by number.
 
 In words of over 64 bytes a step joins all places of the leftmost pair of the least rank at once where no other pair has that
 rank: as a piece is made of pieces of lesser ranks, a new pair never comes before the places that are still to be joined. So a
@@ -20,16 +20,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm import wordhash
 from corpusloom.llm.common import shuffle_parts, stored
 from corpusloom.llm.tokens import public_path
 
@@ -63,14 +64,6 @@ def rank_maps(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(groups)), "array<map<string,bigint>>")
 
 
-def piece_table(ranks: dict[bytes, int]) -> Column:
-    """A literal array: entry i has the hex digits of the piece with id i."""
-    table = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        table[rank] = piece.hex().upper()
-    return F.from_json(F.lit(json.dumps(table)), "array<string>")
-
-
 def _let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -112,42 +105,49 @@ def _folded(digits: Column, maps: Column) -> Column:
     return _let(rank(digits), lambda r: F.when(r.isNotNull(), F.array(r)).when(F.length(digits) <= _SHORT, fold(one)).otherwise(fold(every)))
 
 
-def decoded(ids: Column, table: Column) -> Column:
-    """The hex digits of the bytes of a word's ids, piece after piece."""
-    return F.array_join(F.transform(ids, lambda i: F.get(table, i.cast("int"))), "")
-
-
-#: White space other than single blanks and newlines inside a run; texts with it are split as a whole.
-_ODD = re.compile("[\\x1c-\\x1f\\t\\r\\v\\f]|  | \\n|\\n |\\A[ \\n]|[ \\n]\\Z|[^\\S\\x00-\\x7f]")
+#: White space other than single blanks and newlines inside a run; texts with it are split as a whole, and empty ones.
+_ODD = "\\A\\z|[\\x1c-\\x1f\\t\\r\\v\\f]|  | \\n|\\n |\\A[ \\n]|[ \\n]\\z|[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-class _Numbers:
-    """Numbers of a block's words, and of the words of each run between single blanks."""
+def _pieces(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices of consecutive runs of counts items that begin at starts."""
+    first = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(starts - first, counts)
 
-    def __init__(self, pattern: regex.Pattern):
-        self.pattern, self.words, self.runs, self.heads = pattern, {}, {}, {}
 
-    def of(self, words: list[str]) -> bytes:
-        known = self.words
-        return np.array([known.setdefault(w, len(known)) for w in words], "<i4").tobytes()
+def word_numbers(texts: pa.Array, pattern: regex.Pattern) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, word numbers of all texts in order, number of words of each text).
 
-    def text(self, text: str) -> bytes:
-        """Word numbers of a text. Where blanks stand alone, the runs between them are split each by itself, with the blank before."""
-        if _ODD.search(text):
-            return self.of(self.pattern.findall(text))
-        first, *rest = text.split(" ")
-        if first not in self.heads:
-            self.heads[first] = self.of(self.pattern.findall(first))
-        out = list(map(self.runs.get, rest))
-        if None in out:
-            for i, raw in enumerate(out):
-                if raw is None:
-                    raw = self.runs.get(rest[i])  # may have come up earlier in this text
-                    out[i] = self.runs[rest[i]] = self.of(self.pattern.findall(" " + rest[i])) if raw is None else raw
-        return self.heads[first] + b"".join(out)
+    Where blanks stand alone, words never cross them: the runs between blanks are made distinct first, and each is split once,
+    with the blank before it; a text's first run has none and is split by itself.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = pc.match_substring_regex(texts, _ODD)
+    plain, whole = texts.filter(pc.invert(odd)), texts.filter(odd)
+    lists = pc.split_pattern(plain, " ")
+    runs = lists.flatten().dictionary_encode()
+    inner = pattern.findall("".join([" " + r for r in runs.dictionary.to_pylist()]))
+    alone = [pattern.findall(t.split(" ", 1)[0]) for t in plain.to_pylist()] + [pattern.findall(t) for t in whole.to_pylist()]
+    coded = pa.array(inner + [w for words in alone for w in words], pa.string()).dictionary_encode()
+    # every run gives words from the one that begins with a blank to the next such; those of `alone` come after
+    starts = np.append(np.flatnonzero([w[0] == " " for w in inner]), len(inner)).astype(np.int64)
+    ends = len(inner) + np.cumsum([0, *map(len, alone)], dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    item = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    first, count = starts[item], np.diff(starts)[item]
+    n_plain = len(plain)
+    first[bounds[:-1]], count[bounds[:-1]] = ends[:n_plain], np.diff(ends)[:n_plain]
+    # all items in order of texts: the runs of plain texts, one item for each whole text
+    is_odd = odd.to_numpy(zero_copy_only=False)
+    text_of = np.concatenate([np.repeat(np.flatnonzero(~is_odd), np.diff(bounds)), np.flatnonzero(is_odd)])
+    order = np.argsort(text_of, kind="stable")
+    first, count = np.concatenate([first, ends[n_plain:-1]])[order], np.concatenate([count, np.diff(ends)[n_plain:]])[order]
+    sizes = np.bincount(text_of[order], count, len(texts)).astype(np.int64)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)[_pieces(first, count)], sizes
 
 
-_BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, numbers binary, n_words int, parts array<struct<slot: int, at: array<int>, words: array<string>>>"
+#: Words travel as one text a slot, each ended by a newline; their own returns and newlines are written in two characters.
+_BLOCKS = "block long, doc_ids array<bigint>, sizes array<int>, numbers binary, parts array<struct<slot: int, words: string>>"
 
 
 def _split(pattern: str, slots: int, block_chars: int):
@@ -155,81 +155,116 @@ def _split(pattern: str, slots: int, block_chars: int):
         from pyspark import TaskContext
 
         compiled, block = regex.compile(pattern), TaskContext.get().partitionId() << 32
-        numbers, docs, held, size = _Numbers(compiled), [], [], 0
+        docs, held, size = [], [], 0
 
         def flush():
-            words = list(numbers.words)
-            slot = np.array([zlib.crc32(w.encode()) % slots for w in words], np.int32)
-            order = np.argsort(slot, kind="stable").astype(np.int32)
-            edge = np.flatnonzero(np.diff(slot[order], prepend=-1))
-            offsets = pa.array(np.append(edge, len(words)).astype(np.int32))
-            at, sorted_words = pa.array(order), pa.array(words, pa.string()).take(pa.array(order))
-            parts = pa.StructArray.from_arrays([pa.array(slot[order][edge]), pa.ListArray.from_arrays(offsets, at), pa.ListArray.from_arrays(offsets, sorted_words)], ["slot", "at", "words"])
-            whole = lambda x, n: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
-            sizes = pa.array(np.array([len(h) // 4 for h in held], np.int32))
-            packed = zstandard.ZstdCompressor(1).compress(b"".join(held))
-            cols = [pa.array([block], pa.int64()), whole(pa.array(docs, pa.int64()), len(docs)), whole(sizes, len(docs)), pa.array([packed], pa.binary()), pa.array([len(words)], pa.int32()), whole(parts, len(parts))]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "numbers", "n_words", "parts"])
+            words, numbers, sizes = word_numbers(pa.concat_arrays(held), compiled)
+            escaped = pc.replace_substring(pc.replace_substring(words, "\r", "\r1"), "\n", "\r2")
+            offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+            data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+            slot = (wordhash.hashes(data, offsets[:-1], offsets[1:], fold=False) >> np.uint64(20)) % np.uint64(slots)
+            order = np.argsort(slot, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))  # words are numbered by slot
+            edge = np.flatnonzero(np.diff(slot[order].astype(np.int64), prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(order)).astype(np.int32)), escaped.take(pa.array(order)))
+            parts = pa.StructArray.from_arrays([pa.array(slot[order][edge].astype(np.int32)), pc.binary_join(lists, "\n")], ["slot", "words"])
+            planes = np.ascontiguousarray(place[numbers].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            cols = [pa.array([block], pa.int64()), one(pa.concat_arrays(docs)), one(pa.array(sizes.astype(np.int32))), pa.array([zstandard.ZstdCompressor(1).compress(planes)], pa.binary()), one(parts)]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "doc_ids", "sizes", "numbers", "parts"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs.append(doc)
-                held.append(numbers.text(text or ""))
-                size += len(text or "")
+            for a, b in runs_of(batch.column(1), block_chars // 16):
+                docs.append(batch.column(0)[a:b])
+                held.append(batch.column(1)[a:b])
+                size += pc.sum(pc.binary_length(held[-1])).as_py() or 0
                 if size >= block_chars:
                     yield flush()
-                    numbers, docs, held, size, block = _Numbers(compiled), [], [], 0, block + 1
+                    docs, held, size, block = [], [], 0, block + 1
         if docs:
             yield flush()
 
     return run
 
 
-def _assembled(batches):
-    for batch in batches:
-        cols = dict(zip(batch.schema.names, batch.columns))
-        for r in range(batch.num_rows):
-            n_words, docs = cols["n_words"][r].as_py(), cols["doc_ids"][r].values
-            ids, raws, counts = np.empty(n_words, object), np.empty(n_words, object), np.zeros(n_words, np.int64)
-            for part in cols["given"][r] if n_words else []:
-                at, data = part["at"].values.to_numpy(), part["bytes"].as_py()
-                mine = part["ids"].as_py().split(" ")
-                ends = np.cumsum(part["sizes"].values.to_numpy()).tolist()
-                ids[at], raws[at], counts[at] = mine, [data[a:b] for a, b in zip([0, *ends], ends)], [m.count(",") + 1 for m in mine]
-            ids, raws = ids.tolist(), raws.tolist()
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(cols["numbers"][r].as_py()), "<i4")
-            ends = np.cumsum(cols["sizes"][r].values.to_numpy()).tolist()
-            n, id_hashes, text_hashes = [], [], []
-            for a, b in zip([0, *ends], ends):
-                at = flat[a:b]
-                n.append(int(counts[at].sum()))
-                at = at.tolist()
-                id_hashes.append(hashlib.sha256(",".join(map(ids.__getitem__, at)).encode()).hexdigest())
-                text_hashes.append(hashlib.sha256(b"".join(map(raws.__getitem__, at))).hexdigest())
-            yield pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def runs_of(texts: pa.Array, most: int):
+    """(first, last) of runs of texts with about `most` bytes each."""
+    total, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + most, side="right")))
+        yield first, last
+        first = last
 
 
-def encoded_words(parts: DataFrame, ranks: dict[bytes, int], partitions: int) -> DataFrame:
-    """Rows (block, slot, at, ids, sizes, bytes) for rows (block, slot, at, words); every distinct word is folded once."""
-    maps, table = rank_maps(ranks), piece_table(ranks)
-    parts = parts.repartition(partitions, "slot")  # all that follows keeps to the slots
-    places = parts.select("slot", "block", F.inline(F.arrays_zip("at", F.col("words").alias("word"))))
+def _assembled(ranks: dict[bytes, int]):
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
 
-    def known(ids: Column) -> Column:
-        digits = _let(table, lambda t: decoded(ids, t))
-        return F.struct(F.array_join(ids.cast("array<string>"), ",").alias("ids"), digits.alias("digits"))
+    def run(batches):
+        table = pa.array(pieces, pa.binary())
+        for batch in batches:
+            cols = dict(zip(batch.schema.names, batch.columns))
+            for r in range(batch.num_rows):
+                docs, sizes = cols["doc_ids"][r].values, cols["sizes"][r].values.to_numpy().astype(np.int64)
+                given = {p["slot"].as_py(): p for p in cols["given"][r]} if cols["given"][r].is_valid else {}
+                base, lists, places = 0, [], []
+                for part in (given[k] for k in sorted(given)):  # words are numbered by slot
+                    places.append(base + part["at"].values.to_numpy().astype(np.int64))
+                    lists.append(pc.split_pattern(pa.array([part["ids"].as_py()]), " ").flatten())
+                    base += len(places[-1])
+                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cols["numbers"][r].as_py()), np.uint8).reshape(4, -1)
+                numbers = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+                ids = pa.concat_arrays(lists).take(pa.array(np.argsort(np.concatenate(places)))) if lists else pa.array([], pa.string())
+                split = pc.split_pattern(ids, ",")
+                counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+                # a word's bytes: its ids' pieces, one after the other
+                bytes_of = table.take(split.flatten().cast(pa.int32()))
+                ends = np.append(0, np.cumsum(counts))
+                offsets = np.frombuffer(bytes_of.buffers()[1], np.int32)[: len(bytes_of) + 1][ends] if len(bytes_of) else np.zeros(1, np.int32)
+                raws = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets)), bytes_of.buffers()[2] or pa.py_buffer(b"")])
+                ids = pc.binary_join_element_wise(ids, "", ",")
+                bounds, n, id_hashes, text_hashes = np.append(0, np.cumsum(sizes)), [], [], []
+                for a, b in token_runs(bounds, 1 << 20):
+                    at = numbers[bounds[a] : bounds[b]]
+                    marks = bounds[a : b + 1] - bounds[a]
+                    n.append(np.diff(np.append(0, np.cumsum(counts[at]))[marks]))
+                    id_hashes += _hashes(ids.take(pa.array(at)), marks, 1)
+                    text_hashes += _hashes(raws.take(pa.array(at)), marks, 0)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(np.concatenate(n)), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    return run
+
+
+def token_runs(bounds: np.ndarray, most: int):
+    """(first, last) of runs of documents with about `most` words each."""
+    first = 0
+    while first < len(bounds) - 1:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, side="right")) - 1)
+        yield first, last
+        first = last
+
+
+def _hashes(values: pa.Array, marks: np.ndarray, tail: int) -> list[str]:
+    """sha256 of the values between marks put together, without the last `tail` bytes."""
+    data = memoryview(values.buffers()[2] or b"")
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    at = offsets[marks].tolist()
+    return [hashlib.sha256(data[a : max(a, b - tail)]).hexdigest() for a, b in zip(at, at[1:])]
+
+
+def encoded_words(parts: DataFrame, ranks: dict[bytes, int], partitions: int) -> DataFrame:
+    """Rows (block, slot, at, ids) for rows (block, slot, words); every distinct word is folded once."""
+    maps = rank_maps(ranks)
+    parts = parts.repartition(partitions, "slot")  # all that follows keeps to the slots
+    places = parts.select("slot", "block", F.posexplode(F.split("words", "\n")).alias("at", "word"))
+    text = F.replace(F.replace("word", F.lit("\r2"), F.lit("\n")), F.lit("\r1"), F.lit("\r"))
     order = Window.partitionBy("word", "slot").orderBy("block")
-    first = places.withColumn("known", F.when(F.lag("block").over(order).isNull(), _let(encoded(F.col("word"), maps), known)))
-    every = first.withColumn("known", F.last("known", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    lists = every.groupBy("slot", "block").agg(F.collect_list(F.struct("at", "known")).alias("x"))
-    return lists.select(
-        "block",
-        F.transform("x", lambda e: e["at"]).alias("at"),
-        F.array_join(F.transform("x", lambda e: e["known"]["ids"]), " ").alias("ids"),
-        F.transform("x", lambda e: (F.length(e["known"]["digits"]) / 2).cast("int")).alias("sizes"),
-        F.unhex(F.array_join(F.transform("x", lambda e: e["known"]["digits"]), "")).alias("bytes"),
-    )
+    first = places.withColumn("ids", F.when(F.lag("block").over(order).isNull(), F.array_join(encoded(text, maps).cast("array<string>"), ",")))
+    every = first.withColumn("ids", F.last("ids", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lists = every.groupBy("slot", "block").agg(F.collect_list(F.struct("at", "ids")).alias("x"))
+    return lists.select("block", "slot", F.transform("x", lambda e: e["at"]).alias("at"), F.array_join(F.transform("x", lambda e: e["ids"]), " ").alias("ids"))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -239,7 +274,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slots = max(64, shuffle_parts(spark), -(-chars // SLOT_CHARS))
     blocks = stored(rows.mapInArrow(_split(pattern or public_pattern(), slots, block_chars), _BLOCKS), "bpe-blocks")
-    parts = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.slot", "p.at", "p.words")
-    given = encoded_words(parts, ranks, min(slots, 20_000)).groupBy("block").agg(F.collect_list(F.struct("at", "ids", "sizes", "bytes")).alias("given"))
-    full = blocks.select("block", "doc_ids", "sizes", "numbers", "n_words").join(given, "block", "left")
-    return full.drop("block").mapInArrow(_assembled, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    parts = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.slot", "p.words")
+    given = encoded_words(parts, ranks, min(slots, 20_000)).groupBy("block").agg(F.collect_list(F.struct("slot", "at", "ids")).alias("given"))
+    full = blocks.select("block", "doc_ids", "sizes", "numbers").join(given, "block", "left")
+    return full.drop("block").mapInArrow(_assembled(ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
