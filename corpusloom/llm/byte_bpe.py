@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import wordhash
-from corpusloom.llm.common import shuffle_parts, stored
+from corpusloom.llm.common import shuffle_parts, stored_in_buckets
 from corpusloom.llm.tokens import public_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,7 @@ _GROUPS = 1 << 14
 _PLACES = 1 << 31
 #: Up to so many hex digits a step joins one place, beyond that all places of its pair; ids are the same.
 _SHORT = 128
+_LAST = 1 << 23
 
 
 def public_pattern() -> str:
@@ -197,41 +198,48 @@ def runs_of(texts: pa.Array, most: int):
         first = last
 
 
+def _grouped(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Consecutive values put together up to each of ends, as binary."""
+    if not len(values):
+        return pa.array([b""] * len(ends), pa.binary())
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1][np.append(0, ends)]
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.ascontiguousarray(offsets)), values.buffers()[2]])
+
+
 def _assembled(ranks: dict[bytes, int]):
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
 
     def run(batches):
-        table = pa.array(pieces, pa.binary())
+        table, decimals = pa.array(pieces, pa.binary()), pa.array([b"%d," % i for i in range(len(pieces))], pa.binary())
         for batch in batches:
             cols = dict(zip(batch.schema.names, batch.columns))
             for r in range(batch.num_rows):
                 docs, sizes = cols["doc_ids"][r].values, cols["sizes"][r].values.to_numpy().astype(np.int64)
                 given = {p["slot"].as_py(): p for p in cols["given"][r]} if cols["given"][r].is_valid else {}
-                base, lists, places = 0, [], []
-                for part in (given[k] for k in sorted(given)):  # words are numbered by slot
-                    places.append(base + part["at"].values.to_numpy().astype(np.int64))
-                    lists.append(pc.split_pattern(pa.array([part["ids"].as_py()]), " ").flatten())
-                    base += len(places[-1])
+                parts = [given[k] for k in sorted(given)]  # words are numbered by slot
+                at = [p["at"].values.to_numpy().astype(np.int64) for p in parts]
+                base = np.cumsum([0, *map(len, at)])
+                place = np.concatenate([x + y for x, y in zip(at, base)]) if at else np.zeros(0, np.int64)
+                digits = np.frombuffer(b"".join(p["ids"].as_py() for p in parts), np.uint8).reshape(-1, 3).astype(np.int64)
+                flat = digits @ np.array([1 << 16, 1 << 8, 1])
+                last = np.flatnonzero(flat & _LAST)  # the last id of each word
+                ids = pa.array(flat & (_LAST - 1))
+                counts = np.diff(last, prepend=-1)
+                back = np.empty(len(place), np.int64)
+                back[place] = np.arange(len(place))
+                counts, order = counts[back], pa.array(back)
+                raws, texts = (_grouped(t.take(ids), last + 1).take(order) for t in (table, decimals))
                 planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(cols["numbers"][r].as_py()), np.uint8).reshape(4, -1)
                 numbers = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-                ids = pa.concat_arrays(lists).take(pa.array(np.argsort(np.concatenate(places)))) if lists else pa.array([], pa.string())
-                split = pc.split_pattern(ids, ",")
-                counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-                # a word's bytes: its ids' pieces, one after the other
-                bytes_of = table.take(split.flatten().cast(pa.int32()))
-                ends = np.append(0, np.cumsum(counts))
-                offsets = np.frombuffer(bytes_of.buffers()[1], np.int32)[: len(bytes_of) + 1][ends] if len(bytes_of) else np.zeros(1, np.int32)
-                raws = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(offsets)), bytes_of.buffers()[2] or pa.py_buffer(b"")])
-                ids = pc.binary_join_element_wise(ids, "", ",")
                 bounds, n, id_hashes, text_hashes = np.append(0, np.cumsum(sizes)), [], [], []
                 for a, b in token_runs(bounds, 1 << 20):
-                    at = numbers[bounds[a] : bounds[b]]
+                    mine = numbers[bounds[a] : bounds[b]]
                     marks = bounds[a : b + 1] - bounds[a]
-                    n.append(np.diff(np.append(0, np.cumsum(counts[at]))[marks]))
-                    id_hashes += _hashes(ids.take(pa.array(at)), marks, 1)
-                    text_hashes += _hashes(raws.take(pa.array(at)), marks, 0)
+                    n.append(np.diff(np.append(0, np.cumsum(counts[mine]))[marks]))
+                    id_hashes += _hashes(texts.take(pa.array(mine)), marks, 1)
+                    text_hashes += _hashes(raws.take(pa.array(mine)), marks, 0)
                 yield pa.RecordBatch.from_arrays([docs, pa.array(np.concatenate(n)), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -254,6 +262,11 @@ def _hashes(values: pa.Array, marks: np.ndarray, tail: int) -> list[str]:
     return [hashlib.sha256(data[a : max(a, b - tail)]).hexdigest() for a, b in zip(at, at[1:])]
 
 
+def three_bytes(ids: Column) -> Column:
+    """Hex digits of ids, three bytes each; the last one is marked."""
+    return F.array_join(F.transform(ids, lambda x, i: F.lpad(F.hex(x + F.when(i == F.size(ids) - 1, _LAST).otherwise(0)), 6, "0")), "")
+
+
 def encoded_words(parts: DataFrame, ranks: dict[bytes, int], partitions: int) -> DataFrame:
     """Rows (block, slot, at, ids) for rows (block, slot, words); every distinct word is folded once."""
     maps = rank_maps(ranks)
@@ -261,10 +274,10 @@ def encoded_words(parts: DataFrame, ranks: dict[bytes, int], partitions: int) ->
     places = parts.select("slot", "block", F.posexplode(F.split("words", "\n")).alias("at", "word"))
     text = F.replace(F.replace("word", F.lit("\r2"), F.lit("\n")), F.lit("\r1"), F.lit("\r"))
     order = Window.partitionBy("word", "slot").orderBy("block")
-    first = places.withColumn("ids", F.when(F.lag("block").over(order).isNull(), F.array_join(encoded(text, maps).cast("array<string>"), ",")))
+    first = places.withColumn("ids", F.when(F.lag("block").over(order).isNull(), _let(encoded(text, maps), three_bytes)))
     every = first.withColumn("ids", F.last("ids", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     lists = every.groupBy("slot", "block").agg(F.collect_list(F.struct("at", "ids")).alias("x"))
-    return lists.select("block", "slot", F.transform("x", lambda e: e["at"]).alias("at"), F.array_join(F.transform("x", lambda e: e["ids"]), " ").alias("ids"))
+    return lists.select("block", "slot", F.transform("x", lambda e: e["at"]).alias("at"), F.unhex(F.array_join(F.transform("x", lambda e: e["ids"]), "")).alias("ids"))
 
 
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -273,7 +286,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slots = max(64, shuffle_parts(spark), -(-chars // SLOT_CHARS))
-    blocks = stored(rows.mapInArrow(_split(pattern or public_pattern(), slots, block_chars), _BLOCKS), "bpe-blocks")
+    blocks = stored_in_buckets(rows.mapInArrow(_split(pattern or public_pattern(), slots, block_chars), _BLOCKS), "bpe-blocks", max(8, min(100_000, chars // (4 * block_chars))), "block")
     parts = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.slot", "p.words")
     given = encoded_words(parts, ranks, min(slots, 20_000)).groupBy("block").agg(F.collect_list(F.struct("slot", "at", "ids")).alias("given"))
     full = blocks.select("block", "doc_ids", "sizes", "numbers").join(given, "block", "left")

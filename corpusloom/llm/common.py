@@ -40,6 +40,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_in_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """As stored(), with the rows in buckets by key: a join on key moves only the other side."""
+    spark, unique = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/corpusloom/{unique}").saveAsTable(unique)
+    return spark.table(unique)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by stored() that nothing reads any more."""
     spark = df.sparkSession
