@@ -3,7 +3,8 @@
 A text is normalised, then cut where its own content says so (a cut depends on a few characters before it, so equal
 passages are cut alike wherever they stand). Chunks are reduced to their distinct contents under a 64-bit identifier, and
 identifiers that stand for more than one content are found by comparing the contents themselves. A document is then the
-ordered list of its chunks' identifiers, eight bytes for about a thousand characters, and only these lists are grouped and joined.
+ordered list of its chunks' identifiers, eight bytes for about a thousand characters, and only these lists are written, grouped and
+joined; a list that more than a thousandth of all rows have is dealt over several parts of the join.
 
 Defined results: null texts count as empty, and all empty texts are equal; rows that repeat a doc_id are rows of their own and
 share their verdict; a null doc_id never is the one that stays unless its whole group has none; other columns are ignored.
@@ -14,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import stored
+
 #: 512 to 4,096 characters, ending where the text has this pattern if it has it there.
 CHUNK = r"(?s).{512,4090}?[aeiou0-9\x{e0}-\x{ff}][nrstl][ ][a-fA-F]|.{1,4096}"
 #: More identifiers than this with two contents make the recipes carry the contents of all chunks.
 MOST_COLLISIONS = 10_000
+#: A recipe with over 1 / HOT of all rows is hot (so at most HOT are); its rows are dealt over SALTS parts.
+HOT, SALTS = 1000, 64
 
 
 def normalised(text: Column) -> Column:
@@ -48,8 +53,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.struct(h.alias("h"), F.when(among, chunk).alias("content"))
 
     recipes = texts.select("doc_id", F.transform(chunks_of(F.col("text"), pattern), entry).alias("recipe"), F.sha2("text", 256).alias("text_sha256"))
-    groups = recipes.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    recipes = stored(recipes.withColumn("mark", F.xxhash64("recipe")), "recipes")
+    groups = recipes.groupBy("recipe", "mark").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # rows of hot recipes are salted; a mark that two recipes share only salts both
+    marks = recipes.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(marks.filter(F.col("n") > F.lit(max(1000, recipes.count() // HOT))).select("mark", F.lit(True).alias("hot")))  # at most HOT rows
+    salted = recipes.join(hot, "mark", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
+    groups = groups.join(hot, "mark", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint")))))
+    joined = salted.join(groups.drop("mark", "hot"), ["recipe", "salt"])
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 ORACLE = r"""

@@ -155,13 +155,11 @@ def _featured(words: np.ndarray, shapes: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 20_000) -> dict | None:
     """The model, from at most most_rows labelled documents outside the held-out fold; None without any."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("label is not null").filter(fold_of(F.col("doc_id")) != 0)
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null").filter(fold_of(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id")).limit(most_rows)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("label", "text")  # known: at most most_rows rows
-    sums, parts = np.zeros((BUCKETS + SHAPES, WIDTH)), 0
-    for row in sample.select("text").coalesce(8).mapInArrow(_contexts, "sums binary").toLocalIterator():
-        sums += np.frombuffer(row.sums, np.float32).reshape(sums.shape)
-        parts += 1
+    partial = sample.select("text").repartition(8).mapInArrow(_contexts, "sums binary").collect()  # eight rows of 4 MB
+    sums = sum((np.frombuffer(row.sums, np.float32).reshape(BUCKETS + SHAPES, WIDTH) for row in partial), np.zeros((BUCKETS + SHAPES, WIDTH)))
     words, shapes = _unit(sums[:BUCKETS]), _unit(sums[BUCKETS:])
     rows = sample.mapInArrow(_featured(words, shapes), "label int, x array<float>").orderBy(F.xxhash64("x")).limit(most_rows).collect()
     if not rows:
@@ -170,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {"words": words, "shapes": shapes, "network": Network().fit(x, y)}
 
 
-def scored(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs' columns with score and predicted."""
+def scored(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, names: tuple = ("score", "predicted")) -> DataFrame:
+    """docs' columns and two more: score and predicted, or other names where docs has these."""
     at, share = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -180,10 +178,10 @@ def scored(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col
             for first, last, data, offsets in slices(batch.column(at), 1 << 20):
                 score = model["network"].score(_pooled(data, offsets, model["words"], model["shapes"])) if model else np.full(last - first, 0.5)
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, f"{kinds}, `{names[0]}` double, `{names[1]}` int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

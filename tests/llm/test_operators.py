@@ -276,3 +276,28 @@ def test_passages_within_one_sparse_run():
     assert len(got) == 3
     for (s, e), (lo, hi) in zip(got, ((0, 50), (159, 219), (328, 408))):
         assert s <= lo + 9 and abs(s - lo) <= 12 and e >= hi and e - hi <= 12
+
+
+def test_stages_judge_rows_by_their_own_texts(spark):
+    """A doc_id twice with different texts, null ids, repeated rows; columns named as the classifier's own."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join("q%d" % i for i in rng.integers(0, 9000, 80)) for _ in range(3))
+    near = c + " more"
+    rows = [(3, a), (3, b), (1, a), (None, b), (None, c), (7, near), (7, near), (9, None), (8, "")]
+    d = spark.createDataFrame([(i, t, "en", 0.5, 3) for i, t in rows], "doc_id long, text string, lang string, score double, predicted int")
+    out = corpus_pipeline.exact_dedup_stage(spark, d, "")
+    assert out.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(3, b), (1, a), (0, c), (7, near), (8, "")])
+    out = corpus_pipeline.near_dedup_stage(spark, d, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(3, b), (1, a), (7, near), (8, ""), (9, "")])
+    labels = [(i, float(i % 2)) for i in range(60)]
+    model = quality.fit(spark.createDataFrame([(i, a if i % 2 else "||| !!!") for i in range(60)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality double"))
+    assert quality.scored(d, model, names=("s", "p")).columns == [*d.columns, "s", "p"]
+
+
+def test_exact_dedup_salts_hot_recipes(spark):
+    rows = [(i, "same") for i in range(2500)] + [(i, "other %d" % (i % 50)) for i in range(2500, 3000)]
+    got = {(r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(0, 2500)} | {(2500 + i, 10) for i in range(50)}
