@@ -301,3 +301,31 @@ def test_exact_dedup_salts_hot_recipes(spark):
     rows = [(i, "same") for i in range(2500)] + [(i, "other %d" % (i % 50)) for i in range(2500, 3000)]
     got = {(r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(0, 2500)} | {(2500 + i, 10) for i in range(50)}
+
+
+def test_passages_recall(spark):
+    """Exact and near passages of 55 to 90 words under a frequent line: of every document that repeats one, some earlier document is named."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: ["u%d" % i for i in rng.integers(0, 10**9, n)]
+    line, rows, places, near = fresh(12), [], {}, set()
+    for p in range(40):
+        passage = fresh(int(rng.integers(20, 35))) + line + fresh(int(rng.integers(23, 43)))
+        for i in range(6):
+            words = list(passage)
+            if i == 4:
+                words[15] = "changed"
+                near.add(len(rows))
+            start = int(rng.integers(0, 60))
+            places[len(rows)] = (p, start, start + len(words))
+            rows.append(fresh(start) + words + fresh(40))
+    rows += [fresh(50) + line + fresh(50) for _ in range(100)]
+    order = rng.permutation(len(rows))
+    d = spark.createDataFrame([(int(order[i]), " ".join(w)) for i, w in enumerate(rows)] + [(None, " ".join(rows[0])), (int(order[0]), " ".join(rows[0]))], "doc_id long, text string")
+    got = passages.repeated_passages(d).collect()
+    back = {int(k): i for i, k in enumerate(order)}
+    assert all(r.match_doc_id < r.doc_id and back[r.doc_id] in places and places[back[r.doc_id]][0] == places[back[r.match_doc_id]][0] for r in got)
+    found = {back[r.doc_id] for r in got if r.end_word - r.start_word >= 50}
+    first = {p: min(int(order[i]) for i, x in places.items() if x[0] == p) for p in range(40)}
+    want = [i for i, x in places.items() if int(order[i]) != first[x[0]]]
+    assert sum(i in found for i in want if i not in near) == sum(i not in near for i in want)
+    assert sum(i in found for i in want) >= 0.9 * len(want)
