@@ -35,7 +35,7 @@ from corpusloom.llm.common import shuffle_parts, stored_in_buckets
 from corpusloom.llm.tokens import public_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: A block holds about so many characters, a slot the words of about so many.
+#: A block holds about so many characters, a partition of slots the words of about so many.
 BLOCK_CHARS = 16 << 20
 SLOT_CHARS = 32 << 20
 _GROUPS = 1 << 14
@@ -285,9 +285,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark, ranks = docs.sparkSession, load_ranks(path or public_path(VOCABULARY))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slots = max(64, shuffle_parts(spark), -(-chars // SLOT_CHARS))
-    blocks = stored_in_buckets(rows.mapInArrow(_split(pattern or public_pattern(), slots, block_chars), _BLOCKS), "bpe-blocks", max(8, min(100_000, chars // (4 * block_chars))), "block")
+    partitions = min(20_000, max(64, shuffle_parts(spark), -(-chars // SLOT_CHARS)))
+    slots = 8 * partitions  # several slots a partition, so that partitions are even
+    blocks = stored_in_buckets(rows.mapInArrow(_split(pattern or public_pattern(), slots, block_chars), _BLOCKS), "bpe-blocks", min(100_000, max(shuffle_parts(spark), chars // (4 * block_chars))), "block")
     parts = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.slot", "p.words")
-    given = encoded_words(parts, ranks, min(slots, 20_000)).groupBy("block").agg(F.collect_list(F.struct("slot", "at", "ids")).alias("given"))
+    given = encoded_words(parts, ranks, partitions).groupBy("block").agg(F.collect_list(F.struct("slot", "at", "ids")).alias("given"))
     full = blocks.select("block", "doc_ids", "sizes", "numbers").join(given, "block", "left")
     return full.drop("block").mapInArrow(_assembled(ranks), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
