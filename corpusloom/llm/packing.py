@@ -3,8 +3,9 @@
 Every partition packs the documents it reads, with no shuffle. A document's full windows leave at once; its rest, of s < size
 ids, goes into the partially filled window whose fill level h (0: a new window) makes the sum over levels of squared counts
 least, where the level array holds the number of windows at each level. Windows that reach the size leave.
-What is left at a partition's end, or when open windows hold more than `most_open` ids, is poured together and cut anew into
-full windows; the ids after the last full window become windows of powers of two, which need no padding.
+What is left at a partition's end is closed: the fullest open windows keep what the rule has placed in them and are filled up from
+the emptiest ones, whose pieces are cut for it; the ids after the last full window become windows of powers of two, which need no
+padding. Open windows that hold more than `most_open` ids are closed likewise down to half of that, so memory stays bounded.
 
 Defined results: null and empty texts are documents of the end id alone; repeated rows are documents of their own; an empty
 table gives no pieces; a document of any length is cut into as many pieces as it needs. sequence_id is unique over all
@@ -46,7 +47,7 @@ class SumOfSquares:
         if full < len(ids):
             self.place((doc, full, ids[full:]))
         if self.held > self.most_open:
-            self.flush()
+            self.flush(self.most_open // 2)
 
     def place(self, piece) -> None:
         s, size = len(piece[2]), self.size
@@ -70,24 +71,46 @@ class SumOfSquares:
             self.count[h + s] += 1
             self.held += h + s
 
-    def flush(self) -> None:
-        """Pours the open windows together, fullest first, and cuts them anew."""
-        pieces = [p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in w]
+    def flush(self, keep: int = 0) -> None:
+        """Closes windows, fullest first, with ids from the emptiest, until at most keep ids are open."""
+        windows = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
+        first, last = 0, len(windows) - 1
+        while first < last and self.held > keep:
+            window, room = windows[first], self.size - sum(len(p[2]) for p in windows[first])
+            while room and first < last:
+                doc, start, ids = windows[last].pop()
+                taken = ids[len(ids) - room :] if len(ids) > room else ids
+                window.append((doc, start + len(ids) - len(taken), taken))
+                if len(taken) < len(ids):
+                    windows[last].append((doc, start, ids[: len(ids) - len(taken)]))
+                room -= len(taken)
+                last -= not windows[last]
+            if not room:
+                self.done.append(window)
+                self.held -= self.size
+                first += 1
+        rest = windows[first : last + 1]
+        if not keep:
+            rest, pieces = [], [p for w in rest for p in w]
+            left, window, room = sum(len(p[2]) for p in pieces), [], 0
+            for doc, start, ids in pieces:
+                while len(ids):
+                    if not room:
+                        room = 1 << (left.bit_length() - 1)
+                        left -= room
+                    take = min(room, len(ids))
+                    window.append((doc, start, ids[:take]))
+                    start, ids, room = start + take, ids[take:], room - take
+                    if not room:
+                        self.done.append(window)
+                        window = []
         self.open, self.held = {}, 0
         self.count[:] = 0
-        left = sum(len(p[2]) for p in pieces)
-        window, room = [], 0
-        for doc, start, ids in pieces:
-            while len(ids):
-                if not room:
-                    room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
-                    left -= room
-                take = min(room, len(ids))
-                window.append((doc, start, ids[:take]))
-                start, ids, room = start + take, ids[take:], room - take
-                if not room:
-                    self.done.append(window)
-                    window = []
+        for w in rest:
+            h = sum(len(p[2]) for p in w)
+            self.open.setdefault(h, []).append(w)
+            self.count[h] += 1
+            self.held += h
 
 
 def _pack(path: str, size: int, end_id: int):
