@@ -329,3 +329,66 @@ def test_passages_recall(spark):
     want = [i for i, x in places.items() if int(order[i]) != first[x[0]]]
     assert sum(i in found for i in want if i not in near) == sum(i not in near for i in want)
     assert sum(i in found for i in want) >= 0.9 * len(want)
+
+
+def test_pii_base_spans_equal_plain_patterns_and_planted_forms_are_found(spark):
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind, s):
+        n = "".join(c for c in s if c.isdigit())
+        return {"email": True, "ip": all(int(x) < 256 for x in s.split(".")) if kind == "ip" else 0, "card": 12 <= len(n) <= 19 and pii.luhn(n or "0"), "phone": 9 <= len(n) <= 15}[kind]
+
+    brute = lambda t: sorted(((m.start(), m.end(), k) for k in plain for m in re.finditer(plain[k], t) if holds(k, m.group())), key=lambda s: (s[0], pii.KINDS.index(s[2])))
+    rows = d.collect()
+    texts = [(r.doc_id, r.text) for r in rows] + [(10**6, "7" * 30000), (10**6 + 1, "1.2.3.4.5.6.7.8 300.1.1.1"), (10**6 + 2, None)]
+    want = {i: hashlib.sha256(pii.joined(brute(t or "")).encode()).hexdigest() for i, t in texts}
+    model = pii.fit(d)
+    assert max(model["thresholds"].values()) < 1
+    got = pii.find(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.base_sha256 for r in got} == want
+    found = lambda t: [t[a:b] for a, b, _ in pii.all_spans(t, model)[1]]
+    assert found("write to jane.roe (at) example (dot) org please") and found("call (743) 555-3824 today") and found("paid with 4111/1111/1111/1111 then")
+    assert not found("paid with 4111/1111/1111/1112 then") and not found("version 10.2 of 2024-10-12 at 12:30") and not found("they met at noon")
+
+
+def test_packing_keeps_what_the_rule_placed():
+    rng = np.random.default_rng(3)
+    packer, total = packing.SumOfSquares(64, most_open=4000), 0
+    for i in range(3000):
+        n = int(rng.integers(1, 150))
+        packer.add(i, np.arange(n, dtype=np.uint32) + 1000 * i)
+        total += n
+    packer.flush()
+    sizes = [sum(len(p[2]) for p in w) for w in packer.done]
+    assert sum(sizes) == total and sum(s != 64 for s in sizes) <= 7 and all(s & (s - 1) == 0 for s in sizes)
+    seen = sorted(x for w in packer.done for _, _, ids in w for x in ids.tolist())
+    assert len(set(seen)) == total
+    assert all(int(ids[0]) - 1000 * doc == start for w in packer.done for doc, start, ids in w)
+
+
+def test_expected_counts_equal_forward_backward():
+    """Documents longer than a segment, counted exactly where the overlap has forgotten its start."""
+    rng = np.random.default_rng(1)
+    m = hmm.Model.initial(3)
+    docs_ = [np.append(rng.integers(0, 50, n), hmm.END).astype(np.uint16) for n in (1, 700, 30, 0)]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES + 1))
+    for s in docs_:
+        b = m.emit[:, s].T
+        a, z = np.zeros((len(s), 3)), np.ones((len(s), 3))
+        for t in range(len(s)):
+            a[t] = (a[t - 1] @ m.move if t else m.start) * b[t]
+            a[t] /= a[t].sum()
+        for t in range(len(s) - 2, -1, -1):
+            z[t] = m.move @ (b[t + 1] * z[t + 1])
+            z[t] /= z[t].sum()
+        g = a * z
+        g /= g.sum(axis=1, keepdims=True)
+        start += g[0]
+        for t in range(1, len(s)):
+            x = np.outer(a[t - 1], b[t] * z[t]) * m.move
+            move += x / x.sum()
+        np.add.at(emit.T, s, g)
+    for x, y in zip((start, move, emit), hmm.expected_counts(m, np.concatenate(docs_))):
+        assert np.allclose(x, y, rtol=2e-3, atol=2e-3)
