@@ -356,7 +356,11 @@ def script_detection(spark, sf_dir):
 @query("""select date_trunc('hour', ts) as hour, event_type, count(*) as events, sum(cast(round(value * 100) as bigint))::bigint as cents from events group by 1, 2""")
 def progress_stream(spark, sf_dir):
     """A stream over the table's files, run until all of them are read."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="corpusloom-")
     return progress.run_available(spark, f"{sf_dir}/events.parquet", f"{base}/progress-{uuid.uuid4().hex}")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: All white space that a strip should remove, the no-break space and the separators 1C-1F included.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]"
+# Shapes of tokens that a translation must keep.
 TOKENS = {
     "var": r"\[([^\]]+)\]",
     "tag": r"\{/?[a-zA-Z][^}]*\}",
@@ -65,6 +66,7 @@ def token_violations(original: Column, translated: Column) -> Column:
     return F.array_compact(F.array(*kinds))
 
 
+# Code point ranges of scripts, in the order in which they are tried.
 def script_of(c: Column) -> Column:
     """Writing system by the first range found, in a fixed order."""
     out = F.when(c.rlike(r"[\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}]"), "cjk")

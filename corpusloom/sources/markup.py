@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: One token: a style or script element, a macro, a tag, a link, or the text up to the next of these.
+# Shapes of markup, in the order in which they are tried.
 MARKUP = r"(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<<.*?>>|<[^>]*>|\[\[[^\]]*\]\]|[^<\[]+|[<\[]"
 
 
