@@ -392,3 +392,38 @@ select item_id, 'archive', 1, length(text) from benchmark union all select page_
 def priority_union_whole(spark, sf_dir):
     part = lambda t, k, o, c: _t(spark, sf_dir, t).select(F.col(k).alias("key"), F.lit(o).alias("origin"), F.length(c).cast("bigint").alias("chars"))
     return reconcile.priority_union(part("documents", "doc_id", "loose", "text"), part("benchmark", "item_id", "archive", "text"), part("pages", "page_id", "page", "url"), key="key").select("key", "origin", "chars")
+
+
+@query("select doc_id, row_number() over (partition by text, lang order by doc_id) = 1 as first_seen from documents where text is not null")
+def first_seen(spark, sf_dir):
+    """The first of rows with one text and context; the others are repeats. Texts are told apart by hash and length."""
+    from pyspark.sql import Window
+
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    return d.select("doc_id", (F.row_number().over(Window.partitionBy("h", "n", "lang").orderBy("doc_id")) == 1).alias("first_seen"))
+
+
+@query("""select user_id, arg_min(event_type, r) as value, max(n) as times from (select *, row_number() over (partition by user_id order by n desc, f) as r from
+(select user_id, event_type, count(*) as n, min(event_id) as f from events group by user_id, event_type)) where r = 1 group by user_id""")
+def most_common_value(spark, sf_dir):
+    """The value that is most common for each key; of equally common ones the one seen first. Counts combine before the shuffle."""
+    counts = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("f"))
+    best = counts.groupBy("user_id").agg(F.max(F.struct("n", (-F.col("f")).alias("f"), "event_type")).alias("x"))
+    return best.select("user_id", F.col("x.event_type").alias("value"), F.col("x.n").alias("times"))
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as requests, count(distinct user_id) as users from events group by 1")
+def utc_days(spark, sf_dir):
+    """Requests by day; sessions are assumed to be in UTC."""
+    e = _t(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return e.groupBy("day").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("user_id").alias("users"))
+
+
+@query("select source as unit, total, cast(row_number() over (order by total = 0, total desc, lower(source)) as integer) as place from (select source, count(*) filter (quality = 1) as total from documents left join labels using (doc_id) group by source)")
+def unit_order(spark, sf_dir):
+    """Units with nothing to do last, then by size, then by name; one row a unit is ordered."""
+    from pyspark.sql import Window
+
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    units = d.groupBy(F.col("source").alias("unit")).agg(F.count_if(F.col("quality") == 1).alias("total"))
+    return units.withColumn("place", F.row_number().over(Window.orderBy(F.col("total") == 0, F.desc("total"), F.lower("unit"))))
