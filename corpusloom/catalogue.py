@@ -37,8 +37,6 @@ def _docs(spark, sf_dir):
 _FNV = "case when {k} = '' then '811c9dc5' else lower(lpad(printf('%x', list_reduce(list_prepend(2166136261::bigint, list_transform(string_split({k}, ''), lambda c: unicode(c)::bigint)), lambda h, c: ((xor(h, c) * 16777619) & 4294967295))), 8, '0')) end"
 _KEY = "source || chr(0) || lang || chr(0) || doc_id::varchar || chr(0) || text"
 _STRIP = r"regexp_replace({c}, '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+$', '', 'g')"
-#: First word of a text: short strings for the filters of labels and identifiers.
-_WORD = "split_part(replace(text, chr(10), ' '), ' ', 1)"
 
 
 def _id(df):
@@ -128,15 +126,7 @@ when contains(t, ' ') or contains(t, chr(10)) or lower(t) in {_IN(predicates.INT
 when {_ANY('t', predicates.IDENTIFIER)} or lower(t) in {_IN(predicates.CODE_WORDS)} then false
 when upper(t) = t and length(t) <= 20 and not contains(t, '_') then true
 else regexp_matches(t, '^\\p{{Lu}}[^\\p{{Lu}}]+$') and length(t) between 4 and 30 end as game_text
-from (select *, {_STRIP.replace('{c}', 's')} as t from (select doc_id as i, {_WORD} as s from documents where text is not null union all select p_partkey + 1000000000, p_name from part))"""
-
-
-@query(_GAME)
-def game_text_filter(spark, sf_dir):
-    d = _docs(spark, sf_dir).filter("text is not null").select(F.col("doc_id").alias("i"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")[0].alias("s"))
-    p = _t(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000000).alias("i"), F.col("p_name").alias("s"))
-    x = d.unionByName(p)
-    return x.select("i", "s", predicates.game_text(F.col("s")).alias("game_text"))
+from (select *, {_STRIP.replace('{c}', 's')} as t from (select doc_id as i, text as s from documents where text is not null union all select p_partkey + 1000000000, p_name from part))"""
 
 
 _BARE = r"regexp_replace(regexp_replace(t, '\{[^}]*\}', '', 'g'), '\[[^\]]*\]', '', 'g')"
@@ -146,15 +136,7 @@ _TECH = rf"""select i, (t = '' or {" or ".join(f"ends_with(lower(t), '{e}')" for
  not (t = '' or lower(t) in ('true', 'false') or regexp_matches(t, '^-?[0-9]+(\.[0-9]+)?$') or contains(t, '->') or regexp_matches(t, '^\[[^\]]+\]$') or regexp_matches(t, '^\([^)]*\)$')) as definition_text,
  regexp_matches(t, '\p{{L}}') and not regexp_matches(t, '^[\{{\[\(][A-Z0-9_\-\s]+[\}}\]\)]$') as localised_text
 from (select *, {_BARE} as b, list_extract(string_split(replace(s, '\', '/'), '/'), -1) as l from (select *, {_STRIP.replace('{c}', 's')} as t from
-(select page_id as i, url as s from pages union all select doc_id + 1000000000, {_WORD} from documents where text is not null)))"""
-
-
-@query(_TECH)
-def technical_filter(spark, sf_dir):
-    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("i"), F.col("url").alias("s"))
-    d = _docs(spark, sf_dir).filter("text is not null").select((F.col("doc_id") + 1000000000).alias("i"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")[0].alias("s"))
-    s = F.col("s")
-    return p.unionByName(d).select("i", predicates.script_technical(s).alias("script_technical"), predicates.code_technical(s).alias("code_technical"), predicates.definition_text(s).alias("definition_text"), predicates.localised_text(s).alias("localised_text"))
+(select page_id as i, url as s from pages union all select doc_id + 1000000000, text from documents where text is not null)))"""
 
 
 @query("""select conv_id, turn, row_number() over (partition by conv_id, role order by turn) - 1 as ordinal,
@@ -262,13 +244,6 @@ def _sql_tokens(c, k):
     return f"list_sort(regexp_extract_all({c}, '{text.TOKENS[k]}'))"
 
 
-@query("select doc_id, list_filter([" + ", ".join(f"case when {_sql_tokens('a', k)} <> {_sql_tokens('b', k)} then '{k}' end" for k in text.TOKENS) + """], lambda x: x is not null) as violations
-from (select doc_id, '[v' || doc_id % 3 || '] {b}x{/b} 5%d ' || lang as a, '[v' || doc_id % 2 || '] {b}x' || case when doc_id % 5 = 0 then '{/b}' else '' end || ' 5%' || case when doc_id % 7 = 0 then 's' else 'd' end as b from documents)""")
-def token_multiset_check(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.expr("'[v' || doc_id % 3 || '] {b}x{/b} 5%d ' || lang").alias("a"), F.expr("'[v' || doc_id % 2 || '] {b}x' || case when doc_id % 5 = 0 then '{/b}' else '' end || ' 5%' || case when doc_id % 7 = 0 then 's' else 'd' end").alias("b"))
-    return d.select("doc_id", text.token_violations(F.col("a"), F.col("b")).alias("violations"))
-
-
 @query("select event_id, unnest(json_keys(props)) as path, json_extract_string(props, '$.k') as value from events where props is not null")
 def json_flatten(spark, sf_dir):
     e = _t(spark, sf_dir, "events").filter("props is not null").select("event_id", F.explode(markup.map_leaves(F.col("props"))).alias("kv"))
@@ -306,15 +281,6 @@ def search_page(spark, sf_dir):
     return _docs(spark, sf_dir).filter(hit).select("doc_id", "source").orderBy("doc_id").offset(5).limit(500)
 
 
-@query("""select key, origin, chars from (select *, row_number() over (partition by key order by priority) as rn from
-(select doc_id as key, 'loose' as origin, 0 as priority, length(text) as chars from documents where doc_id % 2 = 0 union all
-select item_id, 'archive', 1, length(text) from benchmark union all select page_id, 'page', 2, length(url) from pages)) where rn = 1""")
-def priority_union(spark, sf_dir):
-    part = lambda t, k, o, c: _t(spark, sf_dir, t).select(F.col(k).alias("key"), F.lit(o).alias("origin"), F.length(c).cast("bigint").alias("chars"))
-    d = _t(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.lit("loose").alias("origin"), F.length("text").cast("bigint").alias("chars"))
-    return reconcile.priority_union(d, part("benchmark", "item_id", "archive", "text"), part("pages", "page_id", "page", "url"), key="key").select("key", "origin", "chars")
-
-
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def missing_items(spark, sf_dir):
     return reconcile.missing(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), ["doc_id"])
@@ -365,15 +331,15 @@ def progress_stream(spark, sf_dir):
 
 
 # The four queries above that see a part of their tables or texts, over all of them.
-@query(_GAME.replace(_WORD, "text"))
-def game_text_filter_whole(spark, sf_dir):
+@query(_GAME)
+def game_text_filter(spark, sf_dir):
     d = _docs(spark, sf_dir).filter("text is not null").select(F.col("doc_id").alias("i"), F.col("text").alias("s"))
     p = _t(spark, sf_dir, "part").select((F.col("p_partkey") + 1000000000).alias("i"), F.col("p_name").alias("s"))
     return d.unionByName(p).select("i", "s", predicates.game_text(F.col("s")).alias("game_text"))
 
 
-@query(_TECH.replace(_WORD, "text"))
-def technical_filter_whole(spark, sf_dir):
+@query(_TECH)
+def technical_filter(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("i"), F.col("url").alias("s"))
     d = _docs(spark, sf_dir).filter("text is not null").select((F.col("doc_id") + 1000000000).alias("i"), F.col("text").alias("s"))
     s = F.col("s")
@@ -381,7 +347,7 @@ def technical_filter_whole(spark, sf_dir):
 
 
 @query("select doc_id, list_filter([" + ", ".join(f"case when {_sql_tokens('text', k)} <> {_sql_tokens('upper(text)', k)} then '{k}' end" for k in text.TOKENS) + "], lambda x: x is not null) as violations from documents where text is not null")
-def token_multiset_check_whole(spark, sf_dir):
+def token_multiset_check(spark, sf_dir):
     d = _docs(spark, sf_dir).filter("text is not null")
     return d.select("doc_id", text.token_violations(F.col("text"), F.upper("text")).alias("violations"))
 
@@ -389,7 +355,7 @@ def token_multiset_check_whole(spark, sf_dir):
 @query("""select key, origin, chars from (select *, row_number() over (partition by key order by priority) as rn from
 (select doc_id as key, 'loose' as origin, 0 as priority, length(text) as chars from documents union all
 select item_id, 'archive', 1, length(text) from benchmark union all select page_id, 'page', 2, length(url) from pages)) where rn = 1""")
-def priority_union_whole(spark, sf_dir):
+def priority_union(spark, sf_dir):
     part = lambda t, k, o, c: _t(spark, sf_dir, t).select(F.col(k).alias("key"), F.lit(o).alias("origin"), F.length(c).cast("bigint").alias("chars"))
     return reconcile.priority_union(part("documents", "doc_id", "loose", "text"), part("benchmark", "item_id", "archive", "text"), part("pages", "page_id", "page", "url"), key="key").select("key", "origin", "chars")
 
@@ -427,3 +393,16 @@ def unit_order(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     units = d.groupBy(F.col("source").alias("unit")).agg(F.count_if(F.col("quality") == 1).alias("total"))
     return units.withColumn("place", F.row_number().over(Window.orderBy(F.col("total") == 0, F.desc("total"), F.lower("unit"))))
+
+
+@query(rf"""select doc_id, md5(case when o_lead then u else regexp_replace(u, '^{text.SPACE_OR_LINE}*\n', '') end) as digest from (select doc_id, o_lead, case when o_trail then t else regexp_replace(t, '\n{text.SPACE_OR_LINE}*\z', '') end as u from
+(select doc_id, chr(10) || text || chr(10) || ' ' || chr(10) as t, regexp_matches(text, '^{text.BLANK}*(\n|\z)') as o_lead, regexp_matches(text, '\n{text.BLANK}*\z') as o_trail from documents where text is not null))""")
+def newline_repair(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null")
+    return d.select("doc_id", F.md5(text.match_newlines(F.concat(F.lit("\n"), F.col("text"), F.lit("\n \n")), F.col("text"))).alias("digest"))
+
+
+@query(rf"select doc_id, md5(regexp_replace(text || ' 100% of %s %(n)s %9d %(x', '{text.PERCENT}', '\1\2\2', 'g')) as digest from documents where text is not null")
+def percent_repair(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null")
+    return d.select("doc_id", F.md5(text.escape_percent(F.concat("text", F.lit(" 100% of %s %(n)s %9d %(x")))).alias("digest"))

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 #: All white space that a strip should remove, the no-break space and the separators 1C-1F included.
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]"
+#: The same without the line feed, and with it, both spelled out for engines whose \s is narrower.
+_OTHER = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}"
+BLANK, SPACE_OR_LINE = rf"[\t\x0B\x0C\r {_OTHER}]", rf"[\t\n\x0B\x0C\r {_OTHER}]"
+# Flags, widths and conversions of a format code; a percent sign without one is the second group.
+PERCENT = r"(%(?:\([^)]*\))?[#0-8\- +hlL]*[diouxXeEfFgGcrs%])|(%)"
 # Shapes of tokens that a translation must keep.
 TOKENS = {
     "var": r"\[([^\]]+)\]",
@@ -88,3 +93,15 @@ def without_prefix(c: Column, prefixes: tuple[str, ...], original: Column) -> Co
         begins = F.lower(F.substring(c, 1, len(p))) == p.lower()
         out = F.when(begins & (F.lower(F.substring(original, 1, len(p))) != p.lower()), F.ltrim(F.substring(c, len(p) + 1, 1 << 30))).otherwise(out)
     return out
+
+
+def match_newlines(translated: Column, original: Column) -> Column:
+    """Drops blank lines at the ends of a translation where the original has none there; a null original counts as empty."""
+    source = F.coalesce(original, F.lit(""))
+    ended = F.when(source.rlike(rf"\n{BLANK}*\z"), translated).otherwise(F.regexp_replace(translated, rf"\n{SPACE_OR_LINE}*\z", ""))
+    return F.when(source.rlike(rf"^{BLANK}*(\n|\z)"), ended).otherwise(F.regexp_replace(ended, rf"^{SPACE_OR_LINE}*\n", ""))
+
+
+def escape_percent(c: Column) -> Column:
+    """Doubles each percent sign that begins no format code; codes and doubled signs stay, so a second run changes nothing."""
+    return F.regexp_replace(c, PERCENT, "$1$2$2")

@@ -67,3 +67,15 @@ def test_upsert_keeps_original_and_approval(spark):
     memory = spark.createDataFrame([("a", "o", "t", True)], "id string, original string, translated string, approved boolean")
     fresh = spark.createDataFrame([("a", "new", "t2"), ("b", "ob", "tb")], "id string, original string, translated string")
     assert sorted(map(tuple, reconcile.merge_translations(memory, fresh).collect())) == [("a", "o", "t2", True), ("b", "ob", "tb", False)]
+
+
+def test_match_newlines(spark):
+    cases = {("a\n", "x"): "a", ("a\n \n", "x\n"): "a\n \n", ("\n \na\n\nb\n", "x"): "a\n\nb", ("\na", "\nx"): "\na", ("\n\n", "x"): "", ("\na\n", ""): "\na", ("a\n", None): "a", ("\n" * 20000 + "a", "x"): "a"}
+    rows = spark.createDataFrame([(*k, v) for k, v in cases.items()], "t string, o string, want string")
+    assert [(r.x, r.want) for r in rows.select(text.match_newlines(F.col("t"), F.col("o")).alias("x"), "want").collect() if r.x != r.want] == []
+
+
+def test_escape_percent(spark):
+    cases = {"100%": "100%%", "100%%": "100%%", "%s %(n)d %5.": "%s %(n)d %%5.", "%(x": "%%(x", "%(n)y": "%%(n)y", "50% off": "50% off", "5% %": "5% %", "%9d": "%%9d", "%%%": "%%%%", "": "", None: None}
+    rows = spark.createDataFrame(list(cases.items()), "s string, want string").withColumn("x", text.escape_percent(F.col("s"))).withColumn("again", text.escape_percent(F.col("x"))).collect()
+    assert [(r.s, r.x, r.again) for r in rows if (r.x, r.again) != (r.want, r.want)] == []
