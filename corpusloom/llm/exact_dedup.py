@@ -1,10 +1,10 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame functions only.
 
 A text is normalised, then cut where its own content says so (a cut depends on a few characters before it, so equal
-passages are cut alike wherever they stand). Chunks are reduced to their distinct contents under a 64-bit identifier, and
-identifiers that stand for more than one content are found by comparing the contents themselves. A document is then the
-ordered list of its chunks' identifiers, eight bytes for about a thousand characters, and only these lists are written, grouped and
-joined; a list that more than a thousandth of all rows have is dealt over several parts of the join.
+passages are cut alike wherever they stand). Chunks are reduced to their distinct contents under an identifier of two 64-bit hashes,
+and the contents themselves are compared to verify that none stands for two; if one did, recipes would carry the contents too.
+A document is then the ordered list of its chunks' identifiers, 16 bytes for about a thousand characters, and only these lists are
+written, grouped and joined; a list that more than a thousandth of all rows have is dealt over several parts of the join.
 
 Defined results: null texts count as empty, and all empty texts are equal; rows that repeat a doc_id are rows of their own and
 share their verdict; a null doc_id never is the one that stays unless its whole group has none; other columns are ignored.
@@ -19,8 +19,6 @@ from corpusloom.llm.common import stored
 
 #: 512 to 4,096 characters, ending where the text has this pattern if it has it there.
 CHUNK = r"(?s).{512,4090}?[aeiou0-9\x{e0}-\x{ff}][nrstl][ ][a-fA-F]|.{1,4096}"
-#: More identifiers than this with two contents make the recipes carry the contents of all chunks.
-MOST_COLLISIONS = 10_000
 #: A recipe with over 1 / HOT of all rows is hot (so at most HOT are); its rows are dealt over SALTS parts.
 HOT, SALTS = 1000, 64
 
@@ -33,24 +31,23 @@ def chunks_of(text: Column, pattern: str = CHUNK) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def collided_identifiers(chunks: DataFrame, identify) -> list[int]:
-    """Identifiers that stand for several contents, at most MOST_COLLISIONS + 1 of them. chunks: a column chunk."""
+def identifier(chunk: Column) -> Column:
+    return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(7), chunk).alias("b"))
+
+
+def any_collision(chunks: DataFrame, identify) -> bool:
+    """Does an identifier stand for several contents? chunks: a column chunk."""
     distinct = chunks.select(identify(F.col("chunk")).alias("h"), "chunk").distinct()
-    several = distinct.groupBy("h").count().filter("count > 1").select("h").limit(MOST_COLLISIONS + 1)
-    return [r.h for r in several.collect()]
+    return not distinct.groupBy("h").count().filter("count > 1").isEmpty()
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identify=F.xxhash64, pattern: str = CHUNK) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identify=identifier, pattern: str = CHUNK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    collided = collided_identifiers(texts.select(F.explode(chunks_of(F.col("text"), pattern)).alias("chunk")), identify)
+    collided = any_collision(texts.select(F.explode(chunks_of(F.col("text"), pattern)).alias("chunk")), identify)
 
     def entry(chunk: Column) -> Column:
-        h = identify(chunk)
-        if not collided:
-            return h
-        among = F.lit(True) if len(collided) > MOST_COLLISIONS else F.array_contains(F.array(*map(F.lit, collided)), h)
-        return F.struct(h.alias("h"), F.when(among, chunk).alias("content"))
+        return F.struct(identify(chunk).alias("h"), chunk.alias("content")) if collided else identify(chunk)
 
     recipes = texts.select("doc_id", F.transform(chunks_of(F.col("text"), pattern), entry).alias("recipe"), F.sha2("text", 256).alias("text_sha256"))
     recipes = stored(recipes.withColumn("mark", F.xxhash64("recipe")), "recipes")

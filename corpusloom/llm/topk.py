@@ -10,7 +10,7 @@ bound equals the k-th are kept. The best k of each block are ranked once more pe
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part as queries or candidates; vectors
 of a length other than the queries' take no part for them; a query's own identifier never is a candidate; repeated rows are candidates
-each; fewer than k candidates give fewer rows; an empty table gives none.
+each; queries that share an identifier are asked one by one if their vectors differ, and once if these are equal too; fewer than k candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -93,10 +93,10 @@ def _packed(table: pa.Table) -> pa.Table:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of about size rows by a hash of (vec_id, row content), so that repeated identifiers spread too."""
+    """Blocks of about size rows by a hash of identifier and vector, so that one identifier's vectors spread too."""
     n = rows.count()
     blocks = max(1, -(-n // size))
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("width", F.size("x"))
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int")).withColumn("width", F.size("x"))
     return stored(keyed.groupBy("block", "width").applyInArrow(_packed, "block int, width int, ids binary, x binary"), "vector-blocks")
 
 
@@ -110,7 +110,8 @@ def _search(k: int, few: int, parts: int):
                 lists = Lists(read("ids"), read("x").reshape(-1, width))
                 own = read("query_ids")
                 at, ids, scores = lists.best(read("q").reshape(-1, width), own, k, few, max(1, len(lists.ids) // parts))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (own[at], ids, scores)], names=["query_id", "vec_id", "score"])
+                asked = (get("query_block", r).as_py() << 32) + at
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (asked, np.full(len(at), width), own[at], ids, scores)], names=["asked", "width", "query_id", "vec_id", "score"])
 
     return run
 
@@ -120,12 +121,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = vectors.filter(valid(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col), scale).alias("x"), is_query.alias("is_query"))
     lists = _blocks(rows.select("vec_id", "x"), BLOCK_ROWS)
-    asked = _blocks(rows.filter("is_query").dropDuplicates(["vec_id"]).select("vec_id", "x"), QUERY_ROWS)
+    asked = _blocks(rows.filter("is_query").dropDuplicates(["vec_id", "x"]).select("vec_id", "x"), QUERY_ROWS)
     most = lists.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
-    asked = asked.select("width", F.col("ids").alias("query_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("block"))
+    asked = asked.select("width", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("block"))
     pairs = lists.join(asked, ["block", "width"]).repartition(F.xxhash64("block", "query_ids"))
-    near = pairs.mapInArrow(_search(k, few, parts), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = pairs.mapInArrow(_search(k, few, parts), "asked long, width long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("asked", "width").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {k}")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -133,8 +134,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 ORACLE = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x from embeddings
            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
-      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+s as (select q.vec_id as query_id, q.x, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+      from (select distinct * from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x)),
+r as (select *, cast(row_number() over (partition by query_id, x order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
 """

@@ -67,7 +67,7 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(edges).select("label").distinct().count() == 1
 
 
-@pytest.mark.parametrize("identify", [F.xxhash64, lambda c: F.length(c).cast("bigint")])
+@pytest.mark.parametrize("identify", [exact_dedup.identifier, lambda c: F.length(c).cast("bigint")])
 def test_exact_dedup(docs, empty, identify):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     rows = [(r[0], norm(r[1])) for r in fixture()]
@@ -147,6 +147,19 @@ def test_topk_with_ties_and_bad_vectors(spark):
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_repeated_and_null_identifiers(spark, tmp_path):
+    """Two vectors of one query identifier are two queries, equal ones are one; a null identifier takes no part; other columns are ignored."""
+    import duckdb
+
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (50, [1.0, 2.0, 3.0]), (None, [9.0, 9.0])] + [(i, [float(i), float(-i)]) for i in range(1, 9)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, block int")
+    df.write.parquet(f"{tmp_path}/e")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet' where vec_id is not null")
+    assert got == sorted(con.sql(topk.ORACLE).fetchall()) and len(got) == 10
+
+
 def test_hmm_base_and_total_probability(docs, empty):
     out = hmm.language_model(docs, states=2, rounds=1).collect()
     rows = [(r[0], words_of(r[1]) + [None]) for r in fixture()]
