@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, predicates, text
-from corpusloom.operators import ordered, reconcile, report
+from corpusloom.operators import ordered, reconcile, report, sinks
 from corpusloom.sources import markup
 from corpusloom.streaming import progress
 
@@ -406,3 +406,62 @@ def newline_repair(spark, sf_dir):
 def percent_repair(spark, sf_dir):
     d = _docs(spark, sf_dir).filter("text is not null")
     return d.select("doc_id", F.md5(text.escape_percent(F.concat("text", F.lit(" 100% of %s %(n)s %9d %(x")))).alias("digest"))
+
+
+@query("""select d.doc_id, md5(string_agg(case when length(line) between 20 and 60 then '<' || line || '>' else line end, chr(10) order by pos)) as digest, count(*) filter (length(line) between 20 and 60) as written
+from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null) d group by d.doc_id
+union all select doc_id, null, 0 from documents where text is null""")
+def write_back(spark, sf_dir):
+    """Lines of 20 to 60 characters go into a memory once, under their identifiers, and come back into every text in brackets."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = d.select(F.explode(F.split("text", "\n", -1)).alias("original")).filter("length(original) between 20 and 60").distinct()
+    memory = lines.select(ids.fnv1a32(F.col("original")).alias("id"), "original", F.concat(F.lit("<"), "original", F.lit(">")).alias("translated"))
+    return sinks.write_back(d, "doc_id", "text", memory, ids.fnv1a32).select("doc_id", F.md5("text").alias("digest"), "written")
+
+
+@query("select conv_id::varchar as id, arg_max(text, turn) as text from conversations where trim(coalesce(text, '')) <> '' group by conv_id")
+def reply_join(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    replies = c.select(F.concat(F.lit("  "), F.col("conv_id").cast("string"), F.lit(" ")).alias("id"), "turn", "text")
+    return reconcile.reply_results(c.select(F.col("conv_id").cast("string").alias("id")).distinct(), replies, "turn")
+
+
+@query("select doc_id, 'loose' as origin from documents where n_chars > 20000 union all select doc_id, 'packed' from documents where source not in (select source from documents where n_chars > 20000)")
+def loose_or_packed(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    loose, packed = d.filter("n_chars > 20000").withColumn("origin", F.lit("loose")), d.withColumn("origin", F.lit("packed"))
+    return reconcile.unless_loose(loose, packed, "source").select("doc_id", "origin")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, rank, rank < greatest(1, ceil(q / 40.0)) as engaged from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, sum(l_quantity::double) over (partition by l_orderkey) as q,
+coalesce(sum(case when l_returnflag = 'N' then 1 else 0 end) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding), 0)::bigint as rank from lineitem)""")
+def worker_ramp(spark, sf_dir):
+    from pyspark.sql import Window
+
+    place = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    l = _t(spark, sf_dir, "lineitem").select("l_orderkey", *place, "l_returnflag", F.col("l_quantity").cast("double").alias("q"))
+    l = l.withColumn("rank", ordered.rank_among(F.col("l_returnflag") == "N", ["l_orderkey"], place)).withColumn("q", F.sum("q").over(Window.partitionBy("l_orderkey")))
+    return l.select("l_orderkey", *place, "rank", ordered.engage(F.col("rank"), F.col("q"), F.lit(40.0)).alias("engaged"))
+
+
+@query("select l_suppkey as slot, count(distinct nullif(l_returnflag, 'N')) as versions, count(*) filter (nullif(l_returnflag, 'N') is null) as keepers from lineitem group by l_suppkey")
+def slot_users(spark, sf_dir):
+    return report.slot_users(_t(spark, sf_dir, "lineitem"), "l_suppkey", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+
+
+@query("select l_orderkey, round(min(case when l_quantity::double / 20 > 1.03 then greatest(0.6::double, 1.0::double / (l_quantity::double / 20) * 1.03::double) end), 6) as worst from lineitem group by l_orderkey")
+def worst_shrink(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem").select("l_orderkey", report.shrink_factor(F.col("l_quantity").cast("double") / 20).alias("factor"))
+    return l.groupBy("l_orderkey").agg(F.round(F.min("factor"), 6).alias("worst"))
+
+
+@query("select conv_id as block, substring(md5(string_agg(coalesce(text, '') || chr(13) || chr(10), '' order by turn)), 1, 8) as digest from conversations group by conv_id")
+def block_digests(spark, sf_dir):
+    return report.block_digest(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query(r"select page_id, list_extract(string_split(replace(url, '\', '/'), '/'), -1) as leaf, split_part(url || '!' || page_id::varchar, '!', 1) as container, list_has_any(string_split(lower(url), '/'), ['page', 'blog', 'news', 'docs', 'a']) as known from pages where url is not null")
+def path_parts(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").filter("url is not null")
+    member = F.concat("url", F.lit("!"), F.col("page_id").cast("string"))
+    return p.select("page_id", text.path_leaf(F.col("url")).alias("leaf"), text.container(member).alias("container"), text.has_segment(F.col("url"), ["page", "blog", "news", "docs", "a"]).alias("known"))

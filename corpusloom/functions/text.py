@@ -105,3 +105,18 @@ def match_newlines(translated: Column, original: Column) -> Column:
 def escape_percent(c: Column) -> Column:
     """Doubles each percent sign that begins no format code; codes and doubled signs stay, so a second run changes nothing."""
     return F.regexp_replace(c, PERCENT, "$1$2$2")
+
+
+def path_leaf(c: Column) -> Column:
+    """The last part of a path, with either slash."""
+    return F.element_at(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), -1)
+
+
+def container(c: Column) -> Column:
+    """The archive that a path such as archive!member lies in: what is before the first mark, or all of it."""
+    return F.get(F.split(c, "!", 2), F.lit(0))
+
+
+def has_segment(c: Column, known: list[str]) -> Column:
+    """Is one of the path's parts a known folder?"""
+    return F.arrays_overlap(F.split(F.lower(c), "/"), F.array(*[F.lit(k.lower()) for k in known]))

@@ -67,3 +67,14 @@ def greedy_batches(rows: DataFrame, key: str, order: str, cost: str, budget: int
     kinds = dict(rows.dtypes)
     slim = rows.select(key, order, F.col(cost).alias("cost"))
     return slim.groupBy(key).applyInPandas(assign, f"{key} {kinds[key]}, {order} {kinds[order]}, batch bigint")
+
+
+def rank_among(free: Column, partition: list[str], order: list[str]) -> Column:
+    """How many rows before this one are free."""
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(free.cast("bigint")).over(w), F.lit(0))
+
+
+def engage(rank: Column, remaining: Column, average: Column) -> Column:
+    """Is the worker of this rank still needed for what remains, at the average batch?"""
+    return rank < F.greatest(F.lit(1), F.ceil(remaining / average))

@@ -61,3 +61,15 @@ def assign_unit(rows: DataFrame, path: str, units: DataFrame, unit: str, separat
     matched = exploded.join(units.select(F.col(unit).alias("_unit")).distinct(), F.col("_prefix") == F.lower("_unit"))
     keys = rows.columns
     return matched.groupBy(*keys).agg(F.max_by("_unit", F.struct(F.length("_unit"), F.col("_unit"))).alias("unit"))
+
+
+def reply_results(wanted: DataFrame, replies: DataFrame, pos: str, key: str = "id", value: str = "text") -> DataFrame:
+    """Wanted keys with what the replies say: identifiers are trimmed and lower-cased, blank values dropped, the last one wins."""
+    clean = replies.filter(F.trim(F.coalesce(value, F.lit(""))) != "").select(F.lower(F.trim(F.col(key).cast("string"))).alias(key), pos, value)
+    last = clean.groupBy(key).agg(F.max_by(value, pos).alias(value))
+    return wanted.join(last, key)
+
+
+def unless_loose(loose: DataFrame, packed: DataFrame, unit: str) -> DataFrame:
+    """Loose rows, and the packed ones of units that have no loose row."""
+    return loose.unionByName(packed.join(loose.select(unit).distinct(), unit, "left_anti"))

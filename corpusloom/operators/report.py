@@ -40,3 +40,21 @@ def small_files(rows: DataFrame, file: list[str], few: int = 5, least: int = 8,
     per = rows.groupBy(*file).agg(F.count(F.lit(1)).alias("n"))
     out = per.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") < few).alias("small"))
     return out.withColumn("together", (F.col("small") >= least) & (F.col("small") >= F.col("files") * share))
+
+
+def slot_users(rows: DataFrame, slot: str, value: Column) -> DataFrame:
+    """Distinct values and rows without one for each slot."""
+    return rows.groupBy(F.col(slot).alias("slot")).agg(F.countDistinct(value).alias("versions"), F.count_if(value.isNull()).alias("keepers"))
+
+
+def shrink_factor(ratio: Column) -> Column:
+    """What a text that is ratio times as wide as its box is scaled by; null if it fits."""
+    # Tolerance and least scale.
+    return F.when(ratio > 1.03, F.greatest(F.lit(0.6), F.lit(1.0) / ratio * 1.03))
+
+
+def block_digest(rows: DataFrame, block: str, pos: str, code: str) -> DataFrame:
+    """First 8 digits of the MD5 over a block's lines, each with its line end."""
+    lists = rows.groupBy(F.col(block).alias("block")).agg(F.sort_array(F.collect_list(F.struct(pos, F.coalesce(code, F.lit("")).alias("c")))).alias("all"))
+    joined = F.array_join(F.transform("all", lambda x: F.concat(x["c"], F.lit("\r\n"))), "")
+    return lists.select("block", F.substring(F.md5(joined), 1, 8).alias("digest"))

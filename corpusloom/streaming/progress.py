@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -15,10 +14,13 @@ def hourly_counts(events: DataFrame) -> DataFrame:
 
 
 def run_available(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
-    """Reads what there is of a folder of Parquet files as a stream, and returns the counts."""
-    kind = spark.read.parquet(path).schema
-    name = "progress_" + uuid.uuid4().hex
-    stream = spark.readStream.schema(kind).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may match a file or a folder
-    query = hourly_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Reads what there is of a folder of Parquet files as a stream; each batch writes the counts it changed under its own number, so
+    a repeated batch replaces itself, and the last count of every key is read from there."""
+    kind, table = spark.read.parquet(path).schema, f"{checkpoint}-counts"
+    stream = hourly_counts(spark.readStream.schema(kind).parquet(f"{path[:-1]}[{path[-1]}]"))  # a pattern may match a file or a folder
+    keep = lambda rows, number: rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+    keep(spark.createDataFrame([], stream.schema), -1)
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    counts = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(table)
+    last = counts.groupBy("hour", "event_type").agg(F.max_by(F.struct("events", "cents"), "batch").alias("c"))
+    return last.select("hour", "event_type", "c.events", "c.cents")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, predicates, text
-from corpusloom.operators import ordered, reconcile
+from corpusloom.operators import ordered, reconcile, sinks
 from corpusloom.sources import markup
 
 
@@ -79,3 +79,17 @@ def test_escape_percent(spark):
     cases = {"100%": "100%%", "100%%": "100%%", "%s %(n)d %5.": "%s %(n)d %%5.", "%(x": "%%(x", "%(n)y": "%%(n)y", "50% off": "50% off", "5% %": "5% %", "%9d": "%%9d", "%%%": "%%%%", "": "", None: None}
     rows = spark.createDataFrame(list(cases.items()), "s string, want string").withColumn("x", text.escape_percent(F.col("s"))).withColumn("again", text.escape_percent(F.col("x"))).collect()
     assert [(r.s, r.x, r.again) for r in rows if (r.x, r.again) != (r.want, r.want)] == []
+
+
+def test_write_back(spark):
+    """Null and empty texts, repeated lines, and two originals under one identifier, of which only the line's own is written."""
+    files = spark.createDataFrame([(1, "a\nbb\n\na"), (2, None), (3, ""), (4, "cc")], "f long, t string")
+    memory = spark.createDataFrame([("1", "a", "A!"), ("2", "bb", "B!"), ("2", "dd", "D!"), ("1", "x", "X!"), ("0", "", None)], "id string, original string, translated string")
+    got = sorted(map(tuple, sinks.write_back(files, "f", "t", memory, lambda c: F.length(c).cast("string")).collect()))
+    assert got == [(1, "A!\nB!\n\nA!", 3), (2, None, 0), (3, "", 0), (4, "cc", 0)]
+
+
+def test_reply_results(spark):
+    replies = spark.createDataFrame([(" A ", 1, "old"), ("a", 2, "new"), ("A", 3, " "), ("b", 1, None), ("z", 1, "not asked")], "id string, n int, text string")
+    got = reconcile.reply_results(spark.createDataFrame([("a",), ("b",)], "id string"), replies, "n").collect()
+    assert [tuple(r) for r in got] == [("a", "new")]
