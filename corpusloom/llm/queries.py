@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_bpe, exact_dedup, hmm, jaccard_join, packing, passages, pii, quality, token_files, topk
+from corpusloom.llm import byte_bpe, collocations, exact_dedup, hmm, jaccard_join, packing, passages, periodic, pii, quality, simhash, token_files, topk
 from corpusloom.llm.common import table
 
 
@@ -49,5 +49,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op6_topk, op7_hmm, op8_token_files, op9_passages, op10_byte_bpe)}
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_topk": topk.ORACLE}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.with_hex(simhash.simhash_components(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.looped))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_quality, op3_packing, op4_exact_dedup, op5_pii, op6_topk, op7_hmm, op8_token_files, op9_passages, op10_byte_bpe, op11_simhash, op12_periodic_runs, op13_collocations)}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op6_topk": topk.ORACLE, "op13_collocations": collocations.ORACLE}

@@ -16,6 +16,9 @@ _BASE = 0x9E3779B97F4A7C15 | 3
 _INVERSE = pow(_BASE, -1, 2**64)
 _SHINGLE = _rng.integers(1, 2**64, 16, dtype=np.uint64, endpoint=False) | np.uint64(1)
 _SHORT = _rng.integers(1, 2**64, 16, dtype=np.uint64, endpoint=False)
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: list[np.ndarray] = []
@@ -40,11 +43,14 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, bounds): byte spans of all words, and for each text the place of its first word (one more at the end)."""
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, bounds): byte spans of all words, and for each text the place of its first word (one more at the end).
+
+    space tells for each of the 256 bytes whether it separates words.
+    """
     n = len(data)
     solid = np.zeros(n + 1, bool)
-    solid[:n] = ~_SPACE[data]
+    solid[:n] = ~space[data]
     before = np.zeros(n + 1, bool)
     before[1:] = solid[:-1]
     cut = offsets[offsets < n]
@@ -64,14 +70,34 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     return hashes(data, starts, ends, fold), bounds
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, values: np.ndarray | None = None) -> np.ndarray:
+    """values: 256 random numbers to use for the bytes instead of the usual ones, for another hash function (fold has no effect then)."""
     n = len(data)
     power, inverse = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * power[:n], out=total[1:])
+    np.cumsum((values if values is not None else _FOLDED if fold else _BYTE)[data] * power[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts])
 
 
+def byte_values(seed: int) -> np.ndarray:
+    """Random numbers of the 256 bytes, A-Z as a-z, for a hash function of its own."""
+    out = np.random.Generator(np.random.PCG64([20240229, seed])).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
+    out[65:91] = out[97:123]
+    return out
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one after the other, each followed by one space, and where each begins (one more at the end)."""
+    size = ends - starts + 1
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    if not at[-1]:
+        return np.zeros(0, np.uint8), at
+    out = data[np.minimum(np.arange(at[-1]) + np.repeat(starts - at[:-1], size), len(data) - 1)]
+    out[at[1:] - 1] = 0x20
+    return out, at
+
+
 def shingles(w: np.ndarray, bounds: np.ndarray, size: int = 5, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds) of all runs of size words within a text, in order and with repeats.
 
