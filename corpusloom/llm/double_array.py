@@ -22,16 +22,21 @@ def _place(parents: np.ndarray, digits: np.ndarray, states: int) -> tuple[np.nda
     base = np.zeros(states, np.int64)
     owners, first, count = np.unique(parents, return_index=True, return_counts=True)
     rng = np.random.Generator(np.random.PCG64(7))
-    for i in np.flatnonzero(count >= 16)[np.argsort(-count[count >= 16], kind="stable")]:  # states with many children: the first fit among free slots
+    large, low = np.flatnonzero(count >= 16), 1 << DIGIT
+    for i in large[np.argsort(-count[large], kind="stable")]:  # states with many children: the first fit behind a mark that moves on
         d = digits[first[i] : first[i] + count[i]]
-        while True:
-            free = np.flatnonzero(~taken[: size - (1 << DIGIT)])
-            at = next((free[k : k + 256][ok][0] - d[0] for k in range(0, len(free), 256) if (ok := (free[k : k + 256] >= d[0]) & ~taken[np.maximum(free[k : k + 256, None] - d[0], 0) + d].any(axis=1)).any()), None)
-            if at is not None:
-                break
-            taken, size = np.append(taken, np.zeros(size, bool)), 2 * size
+        slot, at = low, -1
+        while at < 0:
+            if slot + (2 << DIGIT) > size:
+                taken, size = np.append(taken, np.zeros(size, bool)), 2 * size
+            free = np.flatnonzero(~taken[slot : slot + 512]) + slot
+            fits = ~taken[free[:, None] + (d - d[0])].any(axis=1)
+            if fits.any():
+                at = int(free[fits.argmax()]) - int(d[0])
+            slot += 512
         base[owners[i]] = at
         taken[at + d] = True
+        low = max(low, slot - (8 << DIGIT))
     wait = np.flatnonzero((count > 1) & (count < 16))
     rounds = 0
     while len(wait):  # states with a few children: all try a random place at once, those without a conflict keep it
