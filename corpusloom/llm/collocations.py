@@ -10,7 +10,7 @@ unambiguous among all words of the corpus that matter (else another hash functio
 3. Candidates are cut into slices of bounded size by a hash, an executor builds a double-array trie of each slice, and up to TRIES of them at
    a time are broadcast. Every task turns its texts into arrays of word hashes; a bit table tells at which positions a phrase may begin, the phrase's
    hash names its trie, and numpy advances the states of all these positions together, level by level. Accepting states are counted
-   by bincount; the counts of all tasks are summed.
+   by bincount; the counts of all tasks are summed, by lots of tasks and then over the lots.
 4. Candidates of three words: positions where both pairs are frequent, found by the tries of step 3, dealt and counted as in 2 and 3.
 
 The tries are bounded (SLICE phrases each), not their number: texts are read once for each TRIES slices. Scores are exact integers (decimals of 38
@@ -193,7 +193,7 @@ class _Loaded:
 
 
 def _counted(size: int, parts: int, sent, seed: int):
-    """(slice, number, n): how often the task's texts hold each phrase of the tries."""
+    """Packed counts, as _packed has them: how often the task's texts hold each phrase of the tries."""
 
     def run(batches):
         loaded = _Loaded(size, parts, sent.value)
@@ -204,12 +204,48 @@ def _counted(size: int, parts: int, sent, seed: int):
                 n[: len(total[k])] += total[k]
                 total[k] = n
         for k, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(n[some])], names=["slice", "number", "n"])
+            yield _packed(k, n)
 
     return run
 
 
+#: Phrases whose counts travel in one row, and rows that are added in one group before the sums are.
+_ROW = 4096
+_LOT = 256
+_PACKED = "slice long, part long, numbers binary, counts binary"
+
+
+def _packed(k: int, n: np.ndarray, part: int = 0) -> pa.RecordBatch:
+    """Rows (slice, part, numbers in the part, counts) of the counts n of a trie's phrases from `part` on, without those that are 0."""
+    some = np.flatnonzero(n)
+    edge = np.flatnonzero(np.diff(some // _ROW, prepend=-1))
+    sizes = np.diff(edge, append=len(some))
+    arrays = [pa.array(np.full(len(edge), k)), pa.array(part + some[edge] // _ROW), binaries((some % _ROW).astype("<u2"), sizes).cast(pa.binary()), binaries(n[some].astype("<i8"), sizes).cast(pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["slice", "part", "numbers", "counts"])
+
+
+def _added(table: pa.Table) -> np.ndarray:
+    numbers, counts = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("numbers", "<u2"), ("counts", "<i8")))
+    out = np.zeros(_ROW, np.int64)
+    np.add.at(out, numbers, counts)
+    return out
+
+
+def _summed(found: DataFrame, least: int) -> DataFrame:
+    """(slice, number, a) of packed counts: the rows of a part are added by lots of tasks, then the lots' sums."""
+
+    def lot(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_packed(table.column("slice")[0].as_py(), _added(table), table.column("part")[0].as_py())])
+
+    def whole(table: pa.Table) -> pa.Table:
+        n = _added(table)
+        some = np.flatnonzero(n >= least)
+        return pa.table([pa.array(np.full(len(some), table.column("slice")[0].as_py())), pa.array(table.column("part")[0].as_py() * _ROW + some), pa.array(n[some])], names=["slice", "number", "a"])
+
+    lots = found.withColumn("lot", F.floor(F.spark_partition_id() / _LOT)).groupBy("slice", "part", "lot").applyInArrow(lot, _PACKED)
+    return lots.groupBy("slice", "part").applyInArrow(whole, "slice long, number long, a long")
+
+
 def _longer(size: int, parts: int, sent, seed: int, fragments: int):
     """Dealt phrases of size + 1 words whose first and last `size` words are phrases of the tries, as far as these are at hand."""
 
@@ -252,7 +288,7 @@ def _count(texts: DataFrame, candidates: DataFrame, size: int, seed: int, least:
     sliced = stored(cut.select("slice", *names).groupBy("slice").applyInArrow(_tries(size), schema), f"tries-{size}")
     counts, dealt = None, None
     for sent in _passes(spark, sliced, parts):
-        found = stored(texts.mapInArrow(_counted(size, parts, sent, seed), "slice long, number long, n long").groupBy("slice", "number").agg(F.sum("n").alias("a")).filter(F.col("a") >= least), f"counts-{size}")
+        found = stored(_summed(texts.mapInArrow(_counted(size, parts, sent, seed), _PACKED), least), f"counts-{size}")
         counts = found if counts is None else counts.unionByName(found)
         if longer_fragments:
             more = stored(texts.mapInArrow(_longer(size, parts, sent, seed, longer_fragments), _DEALT).groupBy("fragment").applyInArrow(_frequent(size + 1, least), ", ".join(f"p{k} long" for k in range(size + 1))), "longer")
