@@ -10,7 +10,8 @@ Pairs are not formed for all members of a posting list. First each member is pai
 with the fewest shingles of its own and so the likeliest partner; the links so found join classes to components. Then only members that aren't in their list's main component are paired, with members of
 other components, so that no link between two components is missed and a group of like documents costs as many pairs as
 members; a pair is formed at the first shingle of both prefixes only, and only if parities of the two sets do not already show
-too many differences. Pairs are decided by their overlap, again counted per fragment (the shingles are kept by fragment) and summed.
+too many differences. Pairs are decided by their overlap: the shared shingles of a class are kept by PARTS vertical parts, each a range of fragments; a pair
+goes to each part that both have, its partial overlap is counted there, and the partial overlaps are summed per pair.
 
 A shingle is a fragment number and 40 more bits of a 64-bit hash. Two unequal shingles of a pair of documents of 1,000 words count
 as one with a probability under 1e-7.
@@ -35,6 +36,8 @@ from corpusloom.llm.components import connected_components
 #: Shingles a fragment should have at most.
 FRAGMENT = 3_000_000
 _BATCH_BYTES = 4 << 20
+#: Vertical parts in which the overlaps of pairs are counted.
+PARTS = 8
 #: Words of 64 bits of a set's parities: bit i tells whether the number of its shingles with hash i is odd.
 PARITY = 8
 
@@ -130,13 +133,14 @@ def _shared(table: pa.Table) -> pa.Table:
 _SHARED = "cls long, n long, fragment long, many long, shingles binary, df binary"
 
 
-def _prefixes(percent: int):
+def _prefixes(percent: int, fragments: int):
     """Of each class: its shared shingles in order of fragments, and those that any linked class must share one of."""
 
     def run(batches):
         for batch in batches:
             cls, n, parts = batch.column(0), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             sets, prefixes, parities = [], [], []
+            ends = np.arange(1, PARTS, dtype=np.uint64) * np.uint64(-(-fragments // PARTS)) << np.uint64(40)
             for size, part in zip(n, parts):
                 part.sort(key=lambda p: p["fragment"])
                 h = np.concatenate([unpack5(p["shingles"]) for p in part])
@@ -145,41 +149,37 @@ def _prefixes(percent: int):
                 full = (fragment << np.uint64(40)) | h
                 need = -(-percent * size // 100)
                 order = np.lexsort((full, df))[: len(full) - need + 1]
-                sets.append(np.sort(full).tobytes())
+                sets.append([x.tobytes() for x in np.split(np.sort(full), np.searchsorted(np.sort(full), ends))])
                 prefixes.append(full[order].view(np.int64))
                 odd = np.bincount((wordhash.mix(full) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([cls, batch.column(1), batch.column(2), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["cls", "n", "many", "shingles", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([cls, batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.binary())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))], names=["cls", "n", "many", "shingles", "prefix", "parity"])
 
     return run
 
 
-def _overlaps(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, b, na, nb = (batch.column(i) for i in range(4))
-            left, right = batch.column(4), batch.column(5)
-            keep = []
-            for x, y, s, t in zip(na.to_pylist(), nb.to_pylist(), left, right):
-                u, v = np.frombuffer(s.as_buffer(), "<u8"), np.frombuffer(t.as_buffer(), "<u8")
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                both = int((v[at] == u).sum()) if len(v) else 0
-                keep.append(100 * both >= percent * (x + y - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    return run
+def _partial(batches):
+    """The overlap of a pair within one vertical part."""
+    for batch in batches:
+        both = []
+        for s, t in zip(batch.column(2), batch.column(3)):
+            u, v = np.frombuffer(s.as_buffer(), "<u8"), np.frombuffer(t.as_buffer(), "<u8")
+            if len(u) > len(v):
+                u, v = v, u
+            at = np.searchsorted(v, u)
+            at[at == len(v)] = 0
+            both.append(int((v[at] == u).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], names=["a", "b", "both"])
 
 
-def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose classes reach the threshold."""
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    full = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
-    return full.mapInArrow(_overlaps(percent), "a long, b long")
+def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose classes reach the threshold, from the sums of their partial overlaps."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    right = parts.select(F.col("cls").alias("b"), "part", F.col("shingles").alias("sb"))
+    left = parts.select(F.col("cls").alias("a"), "part", F.col("shingles").alias("sa"))
+    full = pairs.select("a", "b", part).join(right, ["b", "part"]).join(left, ["a", "part"]).select("a", "b", "sa", "sb")
+    total = full.mapInArrow(_partial, "a long, b long, both long").groupBy("a", "b").agg(F.sum("both").alias("both"))
+    return total.join(pairs, ["a", "b"]).filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
 def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -189,11 +189,12 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     documents = stored(rows.mapInArrow(_classes(size), "doc_id long, n long, cls long"), "classes")
     total = documents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(64, shuffle_parts(spark), -(-total // FRAGMENT))
-    parts = rows.select("text").mapInArrow(_fragments(size, fragments), "fragment long, cls binary, n binary, counts binary, shingles binary")
-    shared = parts.groupBy("fragment").applyInArrow(_shared, _SHARED)
+    dealt = rows.select("text").mapInArrow(_fragments(size, fragments), "fragment long, cls binary, n binary, counts binary, shingles binary")
+    shared = dealt.groupBy("fragment").applyInArrow(_shared, _SHARED)
     whole = shared.groupBy("cls", "n").agg(F.sum("many").alias("many"), F.collect_list(F.struct("fragment", "shingles", "df")).alias("parts"))
     whole = whole.filter(F.expr(f"100 * many >= {percent} * n")).select("cls", "n", "many", "parts")
-    classes = stored(whole.mapInArrow(_prefixes(percent), "cls long, n long, many long, shingles binary, prefix array<long>, parity array<long>"), "shared")
+    classes = stored(whole.mapInArrow(_prefixes(percent, fragments), "cls long, n long, many long, shingles array<binary>, prefix array<long>, parity array<long>"), "shared")
+    parts = classes.select("cls", F.posexplode("shingles").alias("part", "shingles")).filter("length(shingles) > 0")
     before = F.expr("concat(array(cast(null as bigint)), slice(prefix, 1, size(prefix) - 1))").alias("before")
     posts = classes.select(F.explode(F.arrays_zip("prefix", before)).alias("p"), "cls", "n", "many").select(F.col("p.prefix").alias("shingle"), F.col("p.before").alias("before"), "cls", "n", "many")
     # an overlap is at most the lesser number of shared shingles
@@ -201,8 +202,8 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     leaders = posts.groupBy("shingle").agg(F.min(F.struct((F.col("n") - F.col("many")).alias("own"), "n", "cls", "many")).alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     stars = posts.join(leaders, "shingle").select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), "n", "many", F.col("l.n").alias("m"), F.col("l.many").alias("also"))
-    stars = stars.filter("a != b").filter(near).select("a", "b").distinct()
-    first = stored(_links(stars, classes, percent), "links")
+    stars = stars.filter("a != b").filter(near).select("a", "b", F.col("m").alias("na"), F.col("n").alias("nb")).distinct()
+    first = stored(_links(stars, parts, percent), "links")
     labels = connected_components(first)
 
     comp = labels.select(F.col("node").alias("cls"), "label")
@@ -217,9 +218,9 @@ def class_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     differ = f"n - many + m - also + {' + '.join(f'bit_count(x{i} ^ y{i})' for i in range(PARITY))}"
     alike = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + m)"
     cross = probes.join(posts, "shingle").filter("la != label").filter("label = main or a < cls").filter(near).filter("before is null or prior is null or before != prior").filter(alike)
-    cross = cross.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    cross = cross.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"), F.when(F.col("a") < F.col("cls"), F.col("m")).otherwise(F.col("n")).alias("na"), F.when(F.col("a") < F.col("cls"), F.col("n")).otherwise(F.col("m")).alias("nb")).distinct()
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _links(cross, classes, percent)
+    second = _links(cross, parts, percent)
     labels = connected_components(known.unionByName(second))
     return documents, labels.select(F.col("node").alias("cls"), "label")
 
