@@ -28,7 +28,8 @@ class WordEncoder:
     Each blank-free run is encoded once and kept in one of two generations of at most `keep` runs each, so memory stays
     bounded whatever the number of different words. Runs of Latin letters go through the tokenizer many at a time, as one
     text, whose ids are cut after each token that ends a word; a sign after such a run is a word of its own. All other runs
-    are encoded alone, and texts with unusual white space or letters whose lower case depends on the place as a whole.
+    are encoded alone. Texts with unusual white space, with letters whose lower case depends on the place, or that hold a token
+added to the vocabulary (such as <|endoftext|>, to which the tokenizer gives its own id wherever it stands) are encoded as a whole.
     Ids are 16-bit where the vocabulary allows.
     """
 
@@ -37,7 +38,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Lowercase()
@@ -90,7 +91,9 @@ class WordEncoder:
         runs, every = [], []
         for t in texts:
             odd = not t.isascii() and (_ODD_SPACE.search(t) or "\u03a3" in t or "\u0130" in t) or not t.isprintable() and _ODD_SPACE.search(t)
-            runs.append(None if odd else len(words := t.lower().split()))
+            low = t.lower()
+            odd = odd or any(x in low for x in self.added)
+            runs.append(None if odd else len(words := low.split()))
             if not odd:
                 every += words
         ids = list(map(self.young.get, every))

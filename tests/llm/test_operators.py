@@ -24,7 +24,7 @@ def fixture():
     near = base.split()
     near[3] = "changed"
     long = " ".join(rng.choice(words, 6000))
-    texts = [base, base + "  ", " ".join(near), None, "", " \n\t ", "one two", "one two", long, base.upper(), "mail a.b@c.de or +1 (743) 555-3824, 10.0.0.1, 4111 1111 1111 1111", "x" * 5000, long + " end"]
+    texts = [base, base + "  ", " ".join(near), None, "", " \n\t ", "one two", "one two", long, base.upper(), "mail a.b@c.de or +1 (743) 555-3824, 10.0.0.1, 4111 1111 1111 1111", "x" * 5000, long + " end", "a <|endoftext|> b<|startoftext|>c <|EndOfText|> <|end", "<|endoftext|>"]
     return [(i, t, None, "s", i, "x") for i, t in enumerate(texts)] + [(0, base, None, "s", 1, "y")]
 
 
@@ -83,7 +83,6 @@ def test_packing_and_files(docs, empty):
     from corpusloom.llm.tokens import public_path
 
     t = Tokenizer.from_file(public_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     ids = [(r[0], t.encode(r[1] or "", add_special_tokens=False).ids) for r in fixture()]
     pieces = packing.pack(docs).collect()
     assert sum(p.length for p in pieces) == sum(len(x) + 1 for _, x in ids)
