@@ -10,26 +10,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, predicates, text
 from corpusloom.operators import ordered, reconcile, report, sinks
+from corpusloom.plans import write_back  # noqa: F401  registers its queries
+from corpusloom.registry import ORACLES, QUERIES, query  # noqa: F401
+from corpusloom.registry import table as _t
 from corpusloom.sources import markup
 from corpusloom.streaming import progress
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
 
