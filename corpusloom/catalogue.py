@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, predicates, text
 from corpusloom.operators import ordered, reconcile, report, sinks
-from corpusloom.plans import texts, write_back  # noqa: F401  registers its queries
+from corpusloom.plans import order, sources, texts, write_back  # noqa: F401  registers its queries
 from corpusloom.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.registry import table as _t
 from corpusloom.sources import markup
@@ -94,12 +94,13 @@ def duplicates_of_selection(spark, sf_dir):
 
 
 @query("""with u as (select distinct lower(split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3)) as unit from pages
-union select distinct lower(split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4)) from pages where page_id % 2 = 0)
+union select lower(split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4)) from pages group by all having count(*) > 1)
 select page_id, max_by(unit, length(unit) * 1000000) as unit from pages join u on lower(url) = unit or starts_with(lower(url), unit || '/') group by page_id""")
 def assign_unit_prefix(spark, sf_dir):
     p = _t(spark, sf_dir, "pages").select("page_id", "url")
     head = lambda n: F.lower(F.array_join(F.slice(F.split("url", "/"), 1, n), "/"))
-    units = p.select(head(3).alias("unit")).unionByName(p.filter("page_id % 2 = 0").select(head(4).alias("unit"))).distinct()
+    deeper = p.groupBy(head(4).alias("unit")).count().filter("count > 1").select("unit")
+    units = p.select(head(3).alias("unit")).unionByName(deeper).distinct()
     return reconcile.assign_unit(p, "url", units, "unit").select("page_id", "unit")
 
 
