@@ -20,6 +20,12 @@ def strip_json(c: Column) -> Column:
     return F.regexp_replace(bare, r",\s*([}\]])", "$1")
 
 
+def whole_json(c: Column) -> Column:
+    """A text that is one JSON value as a variant, null for others: the parser stops after the first value, but not within brackets of our own."""
+    listed = F.transform(F.array(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))), lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+    return F.get(listed, F.lit(0))
+
+
 def _kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING or another kind of a variant."""
     return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
@@ -37,8 +43,8 @@ def flatten_json(files: DataFrame, file: str, text: str) -> DataFrame:
     Each level of nesting is one step that splits the objects of the level before into strings and further objects; the steps end when no object
     is left. An object may not name a key twice, unless spark.sql.variant.allowDuplicateKeys is set (then the last one counts).
     """
-    level = files.select(F.col(file).alias("file"), F.array().cast(_PATH).alias("path"), F.try_parse_json(strip_json(F.col(text))).alias("v"))
-    level, out = level.filter(_kind(F.col("v")) == "OBJECT"), None
+    level = files.select(F.col(file).alias("file"), F.array().cast(_PATH).alias("path"), whole_json(strip_json(F.col(text))).alias("v"))
+    level, out = written(level, "json").filter(_kind(F.col("v")) == "OBJECT"), None
     while True:
         each = _entries(level, "json-level").withColumn("path", F.concat("path", F.array("key")))
         texts = each.filter("kind = 'STRING'").select(F.col("file").alias(file), "path", F.variant_get("value", "$", "string").alias("value"))

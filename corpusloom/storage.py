@@ -27,3 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, parent: str, prefix: str) -> list[int]:
+    """Numbers n, ascending, of the folders parent/<prefix>n that were written to their end."""
+    p, files = _folder(spark, parent)
+    if not files.exists(p):
+        return []
+    found = [x.getPath() for x in files.listStatus(p) if x.isDirectory() and x.getPath().getName().startswith(prefix)]
+    return sorted(int(x.getName()[len(prefix) :]) for x in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    p, files = _folder(spark, path)
+    files.delete(p, True)

@@ -25,6 +25,8 @@ JSON = {
     "bad": '{"a": ',
     "open comment": '{"a": "b"} /* and so on',
     "empty": "",
+    "two": '{"a": "b"} {"c": "d"}',
+    "two more": '{"a": "b"}, {"c": "d"}',
     "deep": '{"k": ' * 30 + '"end"' + "}" * 30,
 }
 
