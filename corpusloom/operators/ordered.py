@@ -27,6 +27,15 @@ def previous_context(text: Column, partition: list[str], order: list[str], most:
     return F.when(F.length(before) > most, F.concat(F.substring(before, 1, keep), F.lit("..."))).otherwise(before)
 
 
+def flow_context(rows: DataFrame, file: str, order: str, text: str, speaker: str, reset: Column, most: int = 250, keep: int = 150) -> DataFrame:
+    """rows with the text before (long ones shortened) and its speaker, both null where the flow begins anew: at a file's start and at each
+    row for which reset holds. The flow's number is the count of resets so far."""
+    flow = F.sum(F.coalesce(reset.cast("int"), F.lit(0))).over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumn("flow", flow)
+    w = Window.partitionBy(file, "flow").orderBy(order)
+    return marked.withColumn("previous", previous_context(F.col(text), [file, "flow"], [order], most, keep)).withColumn("previous_speaker", F.lag(speaker).over(w))
+
+
 def carry_forward(value: Column, partition: list[str], order: list[str]) -> Column:
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return F.last(value, ignorenulls=True).over(w)

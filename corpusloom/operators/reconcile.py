@@ -73,3 +73,28 @@ def reply_results(wanted: DataFrame, replies: DataFrame, pos: str, key: str = "i
 def unless_loose(loose: DataFrame, packed: DataFrame, unit: str) -> DataFrame:
     """Loose rows, and the packed ones of units that have no loose row."""
     return loose.unionByName(packed.join(loose.select(unit).distinct(), unit, "left_anti"))
+
+
+def first_known(candidates: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str = "value") -> DataFrame:
+    """candidates with the value of the first source that knows the key (not null, not blank) and the source's name; both null where none does.
+
+    All sources meet the candidates in one join on the key, not in one each.
+    """
+    every = None
+    for rank, (name, source) in enumerate(sources):
+        part = source.filter(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "").select(key, F.struct(F.lit(rank).alias("rank"), F.col(value).alias("value"), F.lit(name).alias("source")).alias("r"))
+        every = part if every is None else every.unionByName(part)
+    best = every.groupBy(key).agg(F.min("r").alias("r"))
+    return candidates.join(best, key, "left").select(*candidates.columns, F.col("r.value").alias(value), F.col("r.source").alias("source"))
+
+
+def not_curated(generated: DataFrame, curated: DataFrame, keys: list[str]) -> DataFrame:
+    """Generated rows whose whole key, upper and lower case told apart, no curated row has; of generated rows with equal keys and texts one stays."""
+    return generated.dropDuplicates().join(curated.select(*keys), keys, "left_anti")
+
+
+def speakers(lines: DataFrame, names: DataFrame, variable: str, narrator: str = "narrator") -> DataFrame:
+    """lines with the name of who speaks: by the variable before the line, the variable itself where it has no name, the narrator without one."""
+    known = names.select(F.col(variable).alias("_v"), F.col("name").alias("_name")).groupBy("_v").agg(F.min("_name").alias("_name"))
+    joined = lines.join(known, F.col(variable) == F.col("_v"), "left")
+    return joined.withColumn("speaker", F.when(F.coalesce(variable, F.lit("")) == "", F.lit(narrator)).otherwise(F.coalesce("_name", variable))).drop("_v", "_name")
