@@ -115,6 +115,7 @@ def code_technical(c: Column) -> Column:
 
 def definition_text(c: Column) -> Column:
     """Values of definitions that aren't booleans, numbers, grammar rules or single symbols."""
+    # Booleans, the mark of a rule, shapes of numbers and symbols.
     t = strip(c)
     return ~((t == "") | F.lower(t).isin("true", "false") | t.rlike(r"^-?[0-9]+(\.[0-9]+)?$") | t.contains("->") | t.rlike(r"^\[[^\]]+\]$") | t.rlike(r"^\([^)]*\)$"))
 
@@ -127,6 +128,7 @@ def localised_text(c: Column) -> Column:
 
 def setting_text(key: Column, value: Column) -> Column:
     """Key-value pairs whose value is shown."""
+    # Keys and values that are settings, the shape of an object reference.
     return ~(F.lower(strip(key)).isin("langid", "sublangid", "language") | F.lower(strip(value)).isin("true", "false", "none") | value.rlike(r"^\([^)]*(Name|Class)=") | ~has_letter(value))
 
 
