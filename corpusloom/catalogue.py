@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from corpusloom.plans import judged, lists, order, rounds, sources, texts, write
 from corpusloom.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.registry import table as _t
 from corpusloom.sources import markup
+from corpusloom.storage import shared_folder
 from corpusloom.streaming import progress
 
 def _docs(spark, sf_dir):
@@ -25,6 +25,11 @@ _KEY = "source || chr(0) || lang || chr(0) || doc_id::varchar || chr(0) || text"
 _STRIP = r"regexp_replace({c}, '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+$', '', 'g')"
 
 
+def _text_key(c):
+    """A text's digest and length: what is shuffled and compared in its place. Null stays null."""
+    return F.sha2(c, 256).alias("h"), F.length(c).alias("n")
+
+
 def _id(df):
     return ids.stable_id(F.col("source"), F.col("lang"), F.array(F.col("doc_id").cast("string")), F.col("text"))
 
@@ -43,13 +48,13 @@ def id_collisions(spark, sf_dir):
 
 @query("select lang, min(doc_id) as representative, count(*) as members, length(text) as chars from documents where trim(text) <> '' group by text, lang")
 def dedup_representatives(spark, sf_dir):
-    d = _docs(spark, sf_dir).filter("trim(text) <> ''")
-    return reconcile.representatives(d, ["text", "lang"], "doc_id").select("lang", "representative", "members", F.length("text").cast("bigint").alias("chars"))
+    d = _docs(spark, sf_dir).filter("trim(text) <> ''").select("doc_id", "lang", *_text_key("text"))
+    return reconcile.representatives(d, ["h", "n", "lang"], "doc_id").select("lang", "representative", "members", F.col("n").cast("bigint").alias("chars"))
 
 
 @query("select doc_id, min(doc_id) over (partition by text, lang) as representative, count(*) over (partition by text, lang) as members from documents where text is not null")
 def fan_out(spark, sf_dir):
-    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", *_text_key("text"))
     reps = reconcile.representatives(d, ["h", "n", "lang"], "doc_id")
     return reconcile.fan_out(d, reps, ["h", "n", "lang"]).select("doc_id", "representative", "members")
 
@@ -81,16 +86,17 @@ def memory_upsert(spark, sf_dir):
 
 @query("select doc_id from documents d where not exists (select 1 from conversations c where lower(c.role) = lower(d.source)) and not exists (select 1 from benchmark b where lower(trim(b.text)) = lower(trim(d.text)))")
 def anti_existing(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.lower(F.trim("text")).alias("k"))
-    b = _t(spark, sf_dir, "benchmark").select(F.lower(F.trim("text")).alias("k"))
-    return reconcile.missing(d, b, ["k"]).select("doc_id")
+    d = _docs(spark, sf_dir).select("doc_id", F.lower("source").alias("role"), *_text_key(F.lower(F.trim("text"))))
+    b = _t(spark, sf_dir, "benchmark").select(*_text_key(F.lower(F.trim("text"))))
+    roles = _t(spark, sf_dir, "conversations").select(F.lower("role").alias("role")).distinct()
+    return reconcile.missing(reconcile.missing(d, b, ["h", "n"]), roles, ["role"]).select("doc_id")
 
 
 @query("select doc_id from documents where text in (select text from documents where source = 'src1') and source <> 'src1'")
 def duplicates_of_selection(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    chosen = d.filter("source = 'src1'").select("text")
-    return d.filter("source <> 'src1'").join(chosen, "text", "left_semi").select("doc_id")
+    d = _docs(spark, sf_dir).select("doc_id", "source", *_text_key("text"))
+    chosen = d.filter("source = 'src1'").select("h", "n").distinct()
+    return d.filter("source <> 'src1'").join(chosen, ["h", "n"], "left_semi").select("doc_id")
 
 
 @query("""with u as (select distinct lower(split_part(url, '/', 1) || '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3)) as unit from pages
@@ -151,7 +157,7 @@ def unit_progress(spark, sf_dir):
 @query("""select count(*) as total, count(*) filter (o) as todo, count(*) - count(*) filter (o) as done
 from (select bool_or(coalesce(quality, 0) <> 1) as o from documents left join labels using (doc_id) where text is not null group by text, lang)""")
 def progress_counts(spark, sf_dir):
-    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", *_text_key("text"))
     d = d.join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return report.key_progress(d, ["h", "n", "lang"], F.coalesce(F.col("quality") == 1, F.lit(False)))
 
@@ -309,12 +315,7 @@ def script_detection(spark, sf_dir):
 @query("""select date_trunc('hour', ts) as hour, event_type, count(*) as events, sum(cast(round(value * 100) as bigint))::bigint as cents from events group by 1, 2""")
 def progress_stream(spark, sf_dir):
     """A stream over the table's files, run until all of them are read."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="corpusloom-")
-    return progress.run_available(spark, f"{sf_dir}/events.parquet", f"{base}/progress-{uuid.uuid4().hex}")
+    return progress.run_available(spark, f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/corpusloom/progress-{uuid.uuid4().hex}")
 
 
 # The four queries above that see a part of their tables or texts, over all of them.
@@ -352,7 +353,7 @@ def first_seen(spark, sf_dir):
     """The first of rows with one text and context; the others are repeats. Texts are told apart by hash and length."""
     from pyspark.sql import Window
 
-    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", "lang", *_text_key("text"))
     return d.select("doc_id", (F.row_number().over(Window.partitionBy("h", "n", "lang").orderBy("doc_id")) == 1).alias("first_seen"))
 
 

@@ -46,3 +46,8 @@ def finished(spark: SparkSession, parent: str, prefix: str) -> list[int]:
 def removed(spark: SparkSession, path: str) -> None:
     p, files = _folder(spark, path)
     files.delete(p, True)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    p, files = _folder(spark, path)
+    return files.exists(p) and files.getFileStatus(p).isFile()

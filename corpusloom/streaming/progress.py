@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from corpusloom.storage import is_file
+from corpusloom.streaming import live_merge
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -13,14 +15,18 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("events"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "cents")
 
 
-def run_available(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
-    """Reads what there is of a folder of Parquet files as a stream; each batch writes the counts it changed under its own number, so
-    a repeated batch replaces itself, and the last count of every key is read from there."""
-    kind, table = spark.read.parquet(path).schema, f"{checkpoint}-counts"
-    stream = hourly_counts(spark.readStream.schema(kind).parquet(f"{path[:-1]}[{path[-1]}]"))  # a pattern may match a file or a folder
-    keep = lambda rows, number: rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
-    keep(spark.createDataFrame([], stream.schema), -1)
+def run_available(spark: SparkSession, path: str, checkpoint: str, compact: int = 8) -> DataFrame:
+    """Reads what there is of a Parquet file, or of a folder of them, as a stream. Each batch merges the counts that it changed into a table of versions, which keeps the last
+    count of every key and is compacted as it grows; a batch that is repeated changes nothing."""
+    table = f"{checkpoint}-counts"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if is_file(spark, path):  # a stream reads folders
+        folder, _, name = path.rpartition("/")
+        rows = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = reader.parquet(path)
+    stream = hourly_counts(rows)
+    key, schema = ["hour", "event_type"], stream.schema.add("batch", "long")
+    keep = lambda rows, number: live_merge.upsert(rows.withColumn("batch", F.lit(number).cast("long")), number, table, key, ["batch"], compact)
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    counts = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(table)
-    last = counts.groupBy("hour", "event_type").agg(F.max_by(F.struct("events", "cents"), "batch").alias("c"))
-    return last.select("hour", "event_type", "c.events", "c.cents")
+    return live_merge.current(spark, table, schema, key, ["batch"]).drop("batch")

@@ -118,3 +118,18 @@ def test_boxes(spark):
     rows = spark.createDataFrame([("f", 1), ("f", 2), ("f", 1)], "file string, line int")
     boxes = spark.createDataFrame([("f", 1, 5, 5, "s"), ("f", 1, 9, 1, None)], "file string, line int, width int, height int, box_style string")
     assert sorted(tuple(r) for r in styles.at_lines(rows, boxes, "file", "line").collect()) == [("f", 1, 9, 1, None), ("f", 1, 9, 1, None), ("f", 2, None, None, None)]
+
+
+def test_progress_of_a_folder_and_of_a_file(spark, tmp_path):
+    from corpusloom.streaming import progress
+
+    rows = [(f"2024-01-01 0{h}:30:00", t, v) for h, t, v in ((1, "a", 0.1), (1, "a", 0.25), (2, "a", 1.0), (1, "b", None))]
+    d = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = tmp_path / "in" / "events.parquet"
+    d.repartition(2).write.parquet(str(path))
+    d.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "flat").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "flat" / "events.parquet")
+    for n, p in enumerate((path, tmp_path / "flat" / "events.parquet")):
+        got = progress.run_available(spark, str(p), str(tmp_path / f"checkpoint{n}"), compact=1)
+        assert sorted((r.hour.hour, r.event_type, r.events, r.cents) for r in got.collect()) == [(1, "a", 2, 35), (1, "b", 1, None), (2, "a", 1, 100)]
