@@ -126,3 +126,23 @@ def markup_encode(c: Column) -> Column:
 def inner(c: Column, before: int = 1, after: int = 1) -> Column:
     """What is between a literal's delimiters of so many characters."""
     return F.substring(c, F.lit(before + 1), F.greatest(F.length(c) - before - after, F.lit(0)))
+
+
+# Named entities that are decoded.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
+def markup_decode(c: Column) -> Column:
+    """Numbered entities, and the most usual named ones; others stay. Each is looked at once, so &amp;lt; is &lt; after it."""
+    tokens = F.regexp_extract_all(c, F.lit(r"(&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]+);|[^&]+|&)"), F.lit(1))
+
+    def value(token: Column) -> Column:
+        digits = F.when(token.rlike("^&#[xX]"), F.regexp_extract(token, "^&#[xX]([0-9a-fA-F]+);", 1)).when(token.rlike("^&#"), F.hex(F.regexp_extract(token, "^&#([0-9]+);", 1).try_cast("bigint")))
+        code = F.conv(digits, 16, 10).cast("bigint")
+        legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        out = F.when(~token.rlike("^&.+;$"), token).when(digits.isNotNull() & legal, F.decode(F.unhex(F.lpad(F.hex(F.when(legal, code).otherwise(32)), 8, "0")), "UTF-32"))
+        for name, stands in ENTITIES.items():
+            out = out.when(token == f"&{name};", F.lit(stands))
+        return out.otherwise(token)
+
+    return F.array_join(F.transform(tokens, value), "")

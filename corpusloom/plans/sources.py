@@ -39,3 +39,22 @@ def definition_keys(spark, sf_dir):
     labels = part.filter("p_partkey % 3 = 0").select(F.lit("ThingDefs").alias("type"), F.concat(F.lit("Part_"), "p_partkey", F.lit(".LABEL")).alias("key"))
     jobs = part.filter("p_partkey % 4 = 0").select(F.lit("recipedef ").alias("type"), F.concat(F.lit("Part_"), "p_partkey", F.lit(".jobstring")).alias("key"))
     return nested.not_authored(made, labels.unionByName(jobs))
+
+
+_STORY = "translate(coalesce(text, ''), '<>[]&', '')"
+
+
+@query(rf"""with d as (select doc_id, regexp_replace({_STORY}, '^[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{0B}}\x{{1C}}-\x{{1F}}]+|[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{0B}}\x{{1C}}-\x{{1F}}]+$', '', 'g') as t, source, lang from documents)
+select doc_id, 0 as passage, 'Start ' || lang as name, 0 as token, 'text' as kind, md5(t) as digest from d where regexp_matches(t, '[a-zA-Zа-яА-Я]')
+union all select doc_id, 0, 'Start ' || lang, 1, 'macro_str:0', md5('Press & go') from d union all select doc_id, 0, 'Start ' || lang, 3, 'link_label', md5('To ' || source) from d
+union all select doc_id, 0, 'Start ' || lang, 6, 'text', md5(source) from d union all select doc_id, 2, 'End', 1, 'link_target', md5('Back <' || source || '>') from d""")
+def story_passages(spark, sf_dir):
+    """Whole texts as passages of stories, with macros, links, tags and passages of the system."""
+    from corpusloom.functions.escapes import markup_encode
+    from corpusloom.sources.passages import passage_strings
+
+    docs = table(spark, sf_dir, "documents")
+    body = F.concat(F.expr(_STORY), F.lit("<<link \"Press &amp; go\" '$x' \"12\">>"), F.lit("[[To "), "source", F.lit(" | Next]]<b>"), "source", F.lit("</b><style>p {x}</style><<set \"no\">>"))
+    html = F.concat(F.lit('<html><tw-passagedata pid="1" name="Start '), "lang", F.lit('" tags="">'), markup_encode(body), F.lit('</tw-passagedata>\n<TW-passagedata pid="2" name="Code" tags="a script">var x;</tw-passagedata><tw-passagedata pid="3" name="End">[[ Back &amp;lt;'), "source", F.lit("&amp;gt; ]]</tw-passagedata><tw-passagedata pid=\"4\">no name</tw-passagedata></html>"))
+    found = passage_strings(docs.select("doc_id", html.alias("html")), "doc_id", "html")
+    return found.select("doc_id", "passage", "name", "token", "kind", F.md5("value").alias("digest"))
