@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, predicates, text
 from corpusloom.operators import ordered, reconcile, report, sinks
-from corpusloom.plans import judged, lists, order, rounds, sources, texts, write_back  # noqa: F401  registers its queries
+from corpusloom.plans import judged, lists, order, rounds, small, sources, texts, write_back  # noqa: F401  registers its queries
 from corpusloom.registry import ORACLES, QUERIES, query  # noqa: F401
 from corpusloom.registry import table as _t
 from corpusloom.sources import markup
