@@ -362,6 +362,7 @@ def test_pii_base_spans_equal_plain_patterns_and_planted_forms_are_found(spark):
     assert {r.doc_id: r.base_sha256 for r in got} == want
     found = lambda t: [t[a:b] for a, b, _ in pii.all_spans(t, model)[1]]
     assert found("write to jane.roe (at) example (dot) org please") and found("call (743) 555-3824 today") and found("paid with 4111/1111/1111/1111 then")
+    assert found("write to jane.roe at mail dot example dot org please") and found("paid with 3782_822463_10005 then") and found("ring 0049-30-555 3824 today")
     assert not found("paid with 4111/1111/1111/1112 then") and not found("version 10.2 of 2024-10-12 at 12:30") and not found("they met at noon")
 
 
@@ -404,3 +405,27 @@ def test_expected_counts_equal_forward_backward():
         np.add.at(emit.T, s, g)
     for x, y in zip((start, move, emit), hmm.expected_counts(m, np.concatenate(docs_))):
         assert np.allclose(x, y, rtol=2e-3, atol=2e-3)
+
+
+def test_start_of_the_language_model_takes_whole_documents_within_its_budget(spark):
+    sizes = [3, 50, 1000, 7, 7, 400, 20, 1]
+    rows = [(i, n, np.full(n, i, "<u2").tobytes()) for i, n in enumerate(sizes)] + [(6, 20, np.full(20, 6, "<u2").tobytes())] * 3
+    sequences = spark.createDataFrame([(k, n, bytearray(s)) for k, n, s in rows], "key long, n_tokens long, symbols binary")
+    total = sum(n for _, n, _ in rows)
+    for most in (0, 1, 60, 500, total):
+        got = hmm.start_documents(sequences, total if most > 60 else 1, most)
+        assert sum(map(len, got)) <= most
+        assert all(len(x) == sizes[x[0]] and (x == x[0]).all() for x in got)
+        assert sum(x[0] == 6 for x in got) in (0, 4)
+    assert len(got) == len(rows)
+
+
+def test_pii_proposals_hold_every_disguise_and_cost_their_length():
+    rng, kinds = np.random.default_rng(4), {"email": "jane.roe@mail.example.org", "ip": "10.20.30.40", "card": "4111 1111 1111 1111", "phone": "+1 (743) 555-3824"}
+    for kind, span in kinds.items():
+        for _ in range(200):
+            good, _ = pii.disguises(span, kind, rng)
+            text = f"so {good} then"
+            assert any(k == kind and abs(a - 3) <= 1 and abs(b - 3 - len(good)) <= 1 for a, b, k in pii.proposals(text)), (kind, good)
+    for unit in ("a", "1", "1 ", "1.", "a.", "(", "a@", "a at ", "1-1/", "4111 "):
+        assert all(0 <= a < b <= 200_000 for a, b, _ in pii.proposals(unit * (200_000 // len(unit))))
