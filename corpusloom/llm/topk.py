@@ -122,9 +122,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col), scale).alias("x"), is_query.alias("is_query"))
     lists = _blocks(rows.select("vec_id", "x"), BLOCK_ROWS)
     asked = _blocks(rows.filter("is_query").dropDuplicates(["vec_id", "x"]).select("vec_id", "x"), QUERY_ROWS)
-    most = lists.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
-    asked = asked.select("width", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("block"))
-    pairs = lists.join(asked, ["block", "width"]).repartition(F.xxhash64("block", "query_ids"))
+    # every block meets every query block: both are dealt out by the pair, and joined by a merge at every size, as a broadcast would hold the
+    # queries once for each block in the driver
+    last = lambda df: df.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    blocks, query_blocks = last(lists), last(asked)
+    asked = asked.select("width", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks))).alias("block"))
+    lists = lists.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks))))
+    pairs = lists.join(asked.hint("merge"), ["block", "query_block", "width"])
     near = pairs.mapInArrow(_search(k, few, parts), "asked long, width long, query_id long, vec_id long, score long")
     order = Window.partitionBy("asked", "width").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(f"rank <= {k}")
