@@ -83,7 +83,8 @@ def links(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
         # a hot bucket stands in the table as one mark instead of its entries
         held = rows.join(hot, "s", "left_anti").select("s", F.col("x").alias("y")).unionByName(hot.select("s", F.lit(None).cast("long").alias("y")))
         probes = x.select("x", F.explode(_ball("shiftrightunsigned(x, 32)", 0)).alias("s")) if k == 0 else rows
-        met = probes.join(held, "s")
+        # a merge join at every size: Spark takes the 33 probes of an entry for one row, and would broadcast them all
+        met = probes.join(held.hint("merge"), "s")
         edges.append(met.filter("y is not null and x != y and bit_count(x ^ y) <= 2").select(F.col("x").alias("a"), F.col("y").alias("b")))
         own = rows.join(hot, "s", "left_semi")
         if k == 0:
