@@ -24,6 +24,8 @@ from corpusloom.llm import wordhash
 from corpusloom.llm.common import fold_of, slices
 
 BUCKETS, SHAPES, WIDTH, NONZERO = 1 << 15, 1 << 10, 32, 6
+#: Rows in which the sums of index vectors are added up.
+PIECES = 33
 _SORTS = np.zeros(256, np.uint8)
 _SORTS[97:123], _SORTS[65:91], _SORTS[48:58], _SORTS[128:] = 1, 2, 4, 32
 for _c in b".,;:'\"()-":
@@ -63,7 +65,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def _contexts(batches):
-    """Sums of index vectors around each bucket, as one row of bytes a task: words (word and shape neighbours), then shapes."""
+    """Sums of index vectors around each bucket, words (word and shape neighbours), then shapes, as PIECES rows of bytes a task."""
     wi, si = _index(BUCKETS, 1), _index(SHAPES, 2)
     words, shapes = np.zeros((BUCKETS, WIDTH), np.float64), np.zeros((SHAPES, WIDTH), np.float64)
     for batch in batches:
@@ -78,7 +80,13 @@ def _contexts(batches):
             for j in range(WIDTH):
                 words[:, j] += np.bincount(w, near[:, j], BUCKETS)
                 shapes[:, j] += np.bincount(s, near[:, j], SHAPES)
-    yield pa.RecordBatch.from_arrays([pa.array([np.vstack([words, shapes]).astype(np.float32).tobytes()], pa.binary())], names=["sums"])
+    sums = np.split(np.vstack([words, shapes]).astype(np.float32), PIECES)
+    yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["piece", "sums"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("sums"))
+    return pa.table([table.column("piece")[:1], pa.array([total.tobytes()], pa.binary())], names=["piece", "sums"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -148,7 +156,8 @@ def _featured(words: np.ndarray, shapes: np.ndarray):
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1), 1 << 20):
                 x = _pooled(data, offsets, words, shapes)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["label", "x"])
+                x = x.astype("<f4")
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(list(x), pa.list_(pa.float32())), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "x", "raw"])
 
     return run
 
@@ -158,13 +167,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null").filter(fold_of(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id")).limit(most_rows)
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("label", "text")  # known: at most most_rows rows
-    partial = sample.select("text").repartition(8).mapInArrow(_contexts, "sums binary").collect()  # eight rows of 4 MB
-    sums = sum((np.frombuffer(row.sums, np.float32).reshape(BUCKETS + SHAPES, WIDTH) for row in partial), np.zeros((BUCKETS + SHAPES, WIDTH)))
+    partial = sample.select("text").repartition(8).mapInArrow(_contexts, "piece int, sums binary")
+    added = partial.groupBy("piece").applyInArrow(_added, "piece int, sums binary").toArrow()  # 8 MB in all
+    sums = np.zeros((BUCKETS + SHAPES, WIDTH))
+    for piece, x in zip(added.column("piece").to_pylist(), added.column("sums")):
+        sums.reshape(PIECES, -1)[piece] = np.frombuffer(x.as_buffer(), np.float64)
     words, shapes = _unit(sums[:BUCKETS]), _unit(sums[BUCKETS:])
-    rows = sample.mapInArrow(_featured(words, shapes), "label int, x array<float>").orderBy(F.xxhash64("x")).limit(most_rows).collect()
-    if not rows:
+    # rows come as bytes: as numbers in lists they would take ten times the memory in the driver
+    rows = sample.mapInArrow(_featured(words, shapes), "label int, x array<float>, raw binary").orderBy(F.xxhash64("x")).limit(most_rows).select("label", "raw").toArrow()
+    if not rows.num_rows:
         return None
-    x, y = np.array([r.x for r in rows], np.float64), np.array([r.label for r in rows], float)
+    x = np.frombuffer(b"".join(v.as_py() for v in rows.column("raw")), "<f4").reshape(rows.num_rows, -1).astype(np.float64)
+    y = rows.column("label").to_numpy().astype(float)
+    del rows, added
     return {"words": words, "shapes": shapes, "network": Network().fit(x, y)}
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("corpusloom.llm")
-from corpusloom.llm import simhash, topk  # noqa: E402
+from corpusloom.llm import quality, simhash, topk  # noqa: E402
 
 
 def plan(df):
@@ -34,3 +34,12 @@ def test_simhash_broadcasts_no_probes(spark, tmp_path):
     assert found.count("SortMergeJoin") >= 2
     joins = found.replace("BroadcastHashJoin", "\nBroadcastHashJoin").split("\n")
     assert all("LeftAnti" in j or "LeftSemi" in j for j in joins if j.startswith("BroadcastHashJoin"))
+
+
+def test_quality_brings_no_lists_of_numbers_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good words number {i} here" if i % 2 else "||| !!!") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    brought, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: brought.append(self.schema.simpleString()) or collect(self))
+    assert quality.fit(docs, labels)["network"].p[0].shape[1] == 32
+    assert not [x for x in brought if "array" in x or "binary" in x]
