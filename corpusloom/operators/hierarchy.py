@@ -12,22 +12,26 @@ def nearest_ancestors(nodes: DataFrame, node: str, parent: str, values: list[str
     """Every node with, for each of its values, the nearest one on the way up: own, then its parent's, and so on.
 
     Adds <value>_owner and <value>_depth (0: own). The way ends at a null parent, at a parent that is no node, and where it comes to a node again. Pointer doubling: what
-    a node knows of its first 2^k ancestors is joined with what the last of these knows of its own, so a chain of depth d takes
-    log2(d) joins; a cycle ends once 2^k reaches the number of nodes, its members holding all that the cycle defines. The nearest
-    value wins, so seeing a member of a cycle again changes nothing. nodes holds one row a node. Each round is written, as the next reads it twice.
+    a node knows of its first 2^k ancestors is joined with what the last of these knows of its own, so a chain of depth d takes log2(d) joins. Only nodes whose way goes on
+    are joined: a node is done when it has all values, when its way ends or meets a node that is done, and when both halves of its way have the same least node, as it then
+    has gone round a cycle and seen all of it. So the rounds follow the longest way and not the number of nodes. The nearest value wins, so seeing a member of a cycle
+    again changes nothing. nodes holds one row a node. Each round is written, as the next reads it twice.
     """
     fact = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("value"), F.col(node).alias("owner"), F.lit(0).cast("bigint").alias("depth")))
-    state = written(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.lit(1).cast("bigint").alias("steps"), *[fact(v).alias(v) for v in values]), "ancestors")
-    known = state.select("node")
-    state = written(state.join(known.select(F.col("node").alias("up"), F.lit(True).alias("there")), "up", "left").withColumn("up", F.when(F.col("there"), F.col("up"))).drop("there"), "ancestors")
-    total, reach = state.count(), 1
-    while reach <= total and not state.filter("up is not null").isEmpty():
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), *[F.col(v).alias(f"_{v}") for v in values])
-        joined = state.join(above, "up", "left")
-        further = lambda v: F.when(F.col(f"_{v}").isNotNull(), F.struct(F.col(f"_{v}.value").alias("value"), F.col(f"_{v}.owner").alias("owner"), (F.col("steps") + F.col(f"_{v}.depth")).alias("depth")))
-        state = written(joined.select("node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), *[F.coalesce(F.col(v), further(v)).alias(v) for v in values]), "ancestors")
-        reach *= 2
-    return state.select(F.col("node").alias(node), *[c for v in values for c in (F.col(f"{v}.value").alias(v), F.col(f"{v}.owner").alias(f"{v}_owner"), F.col(f"{v}.depth").alias(f"{v}_depth"))])
+    state = written(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.col(node).alias("least"), *[fact(v).alias(v) for v in values]), "ancestors")
+    known = state.select(F.col("node").alias("up"), F.lit(True).alias("there"))
+    unknown = F.lit(False)
+    for v in values:
+        unknown = unknown | F.col(v).isNull()
+    state = written(state.join(known, "up", "left").withColumn("up", F.when(F.col("there") & unknown, F.col("up"))).drop("there"), "ancestors")
+    done, going, reach = state.filter("up is null"), state.filter("up is not null"), 1
+    while not going.isEmpty():
+        above = done.unionByName(going).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("least").alias("other"), *[F.col(v).alias(f"_{v}") for v in values])
+        further = lambda v: F.when(F.col(f"_{v}").isNotNull(), F.struct(F.col(f"_{v}.value").alias("value"), F.col(f"_{v}.owner").alias("owner"), (F.lit(reach) + F.col(f"_{v}.depth")).alias("depth")))  # noqa: B023, E731
+        joined = going.join(above, "up").select("node", F.when(~F.col("least").eqNullSafe(F.col("other")), F.col("next")).alias("up"), F.least("least", "other").alias("least"), *[F.coalesce(F.col(v), further(v)).alias(v) for v in values])
+        state = written(joined.withColumn("up", F.when(unknown, F.col("up"))), "ancestors")
+        done, going, reach = done.unionByName(state.filter("up is null")), state.filter("up is not null"), 2 * reach
+    return done.select(F.col("node").alias(node), *[c for v in values for c in (F.col(f"{v}.value").alias(v), F.col(f"{v}.owner").alias(f"{v}_owner"), F.col(f"{v}.depth").alias(f"{v}_depth"))])
 
 
 def within_any(rows: DataFrame, path: str, known: DataFrame, part: str, separator: str = "/") -> DataFrame:

@@ -138,3 +138,12 @@ def test_splice_equals_brute_force(spark):
         refused += bool(mine) and not good
         assert not mine or good or any(report[f, o, s][0] in ("overlap", "range", "mismatch") for o, s, *_ in mine)
     assert refused > 10 and report[999, 0, 0] == ("no file", None)
+
+
+def test_rounds_follow_the_longest_way(spark, monkeypatch):
+    rounds, write = [], hierarchy.written
+    monkeypatch.setattr(hierarchy, "written", lambda df, name: rounds.append(name) or write(df, name))
+    rows = [(i, i ^ 1, i if i % 3 == 0 else None) for i in range(2000)]  # cycles of two
+    got = {r.node: (r.a, r.a_owner, r.a_depth) for r in hierarchy.nearest_ancestors(spark.createDataFrame(rows, "node long, parent long, a long"), "node", "parent", ["a"]).collect()}
+    assert got == {i: (i, i, 0) if i % 3 == 0 else (i ^ 1, i ^ 1, 1) if (i ^ 1) % 3 == 0 else (None,) * 3 for i in range(2000)}
+    assert len(rounds) <= 5
