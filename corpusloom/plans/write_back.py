@@ -75,8 +75,11 @@ def splice_edits(spark, sf_dir):
     hits = words.withColumn("offset", F.coalesce(before, F.lit(0))).filter("length(word) >= 9")
     first = F.row_number().over(Window.partitionBy("file").orderBy("seq")) == 1
     hits = hits.withColumn("first", first).select("file", "seq", F.when(F.col("first") & (F.col("file") % 5 == 0), F.concat(F.lit("#"), F.substring("word", 2, 1 << 30))).otherwise(F.col("word")).alias("expected"), F.when(F.col("first") & (F.col("file") % 7 == 0), F.col("offset") + 100_000_000).otherwise(F.col("offset")).alias("offset"), F.concat(F.lit("["), "word", F.lit("]")).alias("fresh"), "first", "word")
-    extra = hits.filter("first and file % 11 = 0").select("file", (F.col("seq") + 1).alias("seq"), F.substring("word", 2, 1 << 30).alias("expected"), (F.col("offset") + 1).alias("offset"), F.lit("").alias("fresh"))
-    done, report = splice.splice(docs, hits.select(*extra.columns).unionByName(extra))
+    # the one that begins within the first comes beside it, so hits are worked out once
+    own = F.struct("seq", "expected", "offset", "fresh")
+    within = F.struct((F.col("seq") + 1).alias("seq"), F.substring("word", 2, 1 << 30).alias("expected"), (F.col("offset") + 1).alias("offset"), F.lit("").alias("fresh"))
+    edits = hits.select("file", F.explode(F.when(F.col("first") & (F.col("file") % 11 == 0), F.array(own, within)).otherwise(F.array(own))).alias("e")).select("file", "e.*")
+    done, report = splice.splice(docs, edits)
     rank = F.when(F.col("status") == "range", 4).when(F.col("status") == "overlap", 3).when(F.col("status") == "mismatch", 2).otherwise(1)
     per = report.groupBy("file").agg(F.count(F.lit(1)).alias("all"), F.max_by("status", rank).alias("status"), F.max(F.when(F.col("status") == "applied", F.col("moved_to") - F.col("offset"))).alias("last_shift"))
     edits = F.coalesce(F.col("all"), F.lit(0)) - F.when((F.col("file") % 11 == 0) & F.col("all").isNotNull(), 1).otherwise(0)

@@ -147,3 +147,15 @@ def test_rounds_follow_the_longest_way(spark, monkeypatch):
     got = {r.node: (r.a, r.a_owner, r.a_depth) for r in hierarchy.nearest_ancestors(spark.createDataFrame(rows, "node long, parent long, a long"), "node", "parent", ["a"]).collect()}
     assert got == {i: (i, i, 0) if i % 3 == 0 else (i ^ 1, i ^ 1, 1) if (i ^ 1) % 3 == 0 else (None,) * 3 for i in range(2000)}
     assert len(rounds) <= 5
+
+
+def test_a_text_with_many_edits_is_split_once(spark):
+    text = "é𝄞 wörd " * 20_000
+    files = spark.createDataFrame([("f", text)], "file string, text string")
+    at = range(3, len(text), 8)
+    edits = spark.createDataFrame([("f", i, 0, "wörd", "[" + "x" * (i % 3) + "]") for i in at], "file string, offset long, seq int, expected string, fresh string")
+    done, report = splice.splice(files, edits)
+    assert "split(" in done._jdf.queryExecution().optimizedPlan().toString()
+    want = "".join("é𝄞 [" + "x" * (i % 3) + "] " for i in at)
+    assert done.first().text == want
+    assert [r.status for r in report.select("status").distinct().collect()] == ["applied"]
