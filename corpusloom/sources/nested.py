@@ -75,7 +75,9 @@ def definition_keys(files: DataFrame, file: str, xml: str, fields: tuple[str, ..
     counts if its tag is a known field; only values that people read count. As for JSON, each level is a step. Files that are no XML give nothing.
     """
     options = {"valueTag": "_value", "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
-    root = files.filter(F.col(xml).isNotNull()).select(F.col(file).alias("file"), F.from_xml(F.col(xml), "variant", options).alias("v")).filter(_kind(F.col("v")) == "OBJECT")
+    # a small table is one task's, however long its XML takes, so files are dealt out first; written, as a filter on what is read would read it once more
+    spread = files.filter(F.col(xml).isNotNull()).select(file, xml).repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), file)
+    root = written(spread.select(F.col(file).alias("file"), F.from_xml(F.col(xml), "variant", options).alias("v")), "xml").filter(_kind(F.col("v")) == "OBJECT")
     found = _repeated(_entries(root, "xml-types"))
     name = F.trim(F.try_variant_get("value", "$.defName", "string"))
     abstract = F.lower(F.trim(F.coalesce(F.try_variant_get("value", "$._Abstract", "string"), F.lit("")))) == "true"

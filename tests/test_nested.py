@@ -95,3 +95,11 @@ def test_authored_keys(spark):
     made = spark.createDataFrame([("ThingDef", "Seal.label"), ("RecipeDef", "Seal.label"), ("ThingDef", "seal.label"), ("ThingDef", "Bag.jobString.0"), ("X", "plain")], "type string, key string")
     have = spark.createDataFrame([(" ThingDefs", "Seal.LABEL"), ("thingdef", "Bag.jobstring.0"), ("Xs", "plain"), ("ThingDef", None)], "type string, key string")
     assert sorted(map(tuple, nested.not_authored(made, have).collect())) == [("RecipeDef", "Seal.label"), ("ThingDef", "seal.label"), ("X", "plain")]
+
+
+def test_files_of_a_small_table_are_dealt_out(spark, monkeypatch):
+    tasks, write = {}, nested.written
+    monkeypatch.setattr(nested, "written", lambda df, name: tasks.setdefault(name, df.rdd.getNumPartitions()) and write(df, name))
+    d = spark.range(0, 40, 1, 1).select(F.col("id").alias("file"), F.concat(F.lit("<Defs><A><defName>D"), "id", F.lit("</defName><label>some words</label></A></Defs>")).alias("xml"))
+    assert sorted(tuple(r) for r in nested.definition_keys(d, "file", "xml").collect()) == [(i, "A", f"D{i}.label", "some words") for i in range(40)]
+    assert tasks["xml"] == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
