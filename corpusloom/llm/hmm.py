@@ -8,7 +8,10 @@ Counts. The order of word hashes is cut into fragments; a fragment gets each doc
 training tokens of each word, and sums for each document log10(c + 0.5) over its tokens. These partial sums are added per
 document, so no table of words is ever joined with the documents or sent anywhere.
 
-Training. Documents are kept as sequences of 16-bit classes. In every round each task runs scaled forward-backward over its
+Training. Documents are kept as sequences of 16-bit classes. It starts from how often each class follows each other in all
+training documents: these counts are at most classes x classes numbers, however many documents there are, and rounds of
+expectation and maximisation over them, by blocks in the cluster, give the model under which neighbouring classes are likeliest.
+Then come rounds over the whole sequences. In every one each task runs scaled forward-backward over its
 training documents and returns expected counts (states x states and states x classes); these are added up in the cluster, by
 parts first, and the driver only normalises one such table. The recursions run over segments side by side: each is entered
 `OVERLAP` symbols early from both ends, by where the chain has forgotten how it began, and every transition within a document is
@@ -33,6 +36,8 @@ CLASSES = 1 << 12
 END = CLASSES
 #: Symbols of a segment whose counts are taken, and those before and after it that only carry the recursions in.
 SEGMENT, OVERLAP = 192, 32
+#: Classes whose followers are counted in one row.
+BLOCK = 64
 #: Distinct words of documents that a fragment should have at most.
 FRAGMENT = 3_000_000
 _BATCH_BYTES = 2 << 20
@@ -168,6 +173,79 @@ def expected_counts(model: Model, symbols: np.ndarray):
     return post[first].sum(axis=0, dtype=np.float64), moves, emits
 
 
+def _streams(column: pa.Array):
+    """Whole documents one after the other, in pieces of about 1 MB."""
+    at, sizes = 0, np.cumsum([len(x) for x in (b.as_buffer() for b in column)])
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), side="right")))
+        yield np.frombuffer(b"".join(b.as_py() for b in column[at:end]), "<u2")
+        at = end
+
+
+def _pairs(batches):
+    """Rows (block, cells, counts) of a task's documents: how often a class follows a class of the block; a first symbol follows END."""
+    width = CLASSES + 1
+    total = np.zeros(width * width, np.uint32)
+    for batch in batches:
+        for stream in _streams(batch.column(0)):
+            cells, n = np.unique(np.append(END, stream[:-1]) * width + stream, return_counts=True)
+            total[cells] += n.astype(np.uint32)
+    for block in range(-(-width // BLOCK)):
+        part = total[block * BLOCK * width : (block + 1) * BLOCK * width]
+        cells = np.flatnonzero(part)
+        if len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cells.astype("<u4").tobytes()], pa.binary()), pa.array([part[cells].astype("<u8").tobytes()], pa.binary())], names=["block", "cells", "counts"])
+
+
+def _pair_sums(dense: bool):
+    """Adds up rows of one block; dense: as a table of all its cells, 32-bit floats."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        total = np.zeros(min(BLOCK, CLASSES + 1 - block * BLOCK) * (CLASSES + 1), np.uint64)
+        for cells, counts in zip(table.column("cells"), table.column("counts")):
+            total[np.frombuffer(cells.as_buffer(), "<u4")] += np.frombuffer(counts.as_buffer(), "<u8")
+        cells = np.flatnonzero(total)
+        cols = {"counts": total.astype("<f4").tobytes()} if dense else {"cells": cells.astype("<u4").tobytes(), "counts": total[cells].astype("<u8").tobytes()}
+        return pa.table([table.column("block")[:1], *(pa.array([x], pa.binary()) for x in cols.values())], names=["block", *cols])
+
+    return run
+
+
+def expected_pairs(model: Model, held: np.ndarray, first: int, counts: np.ndarray):
+    """(start, move, emit) counts of pairs of neighbours, each by itself; counts[r, x]: how often x follows class first + r.
+
+    held: how likely each state is at a pair's first symbol. Row END holds first symbols.
+    """
+    counts = counts.astype(np.float32)
+    emit, joint, rows = model.emit.astype(np.float32), (held[:, None] * model.move).astype(np.float32), counts[: max(0, END - first)]
+    alone = model.start[:, None] * model.emit
+    alone = alone / alone.sum(axis=0) * counts[len(rows) :].sum(axis=0)
+    b = emit[:, first : first + len(rows)]
+    weight = rows / np.maximum(b.T @ joint @ emit, 1e-30)
+    after, before = weight @ emit.T, b @ weight
+    emits = emit * (joint.T @ before) + alone
+    emits[:, first : first + len(rows)] += b * (joint @ after.T)
+    return alone.sum(axis=1), joint * (b @ after), emits
+
+
+def _expect_pairs(model: Model, held: np.ndarray):
+    """One row of bytes a task: its blocks' expected counts."""
+
+    def run(batches):
+        k, some = len(model.start), False
+        total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES + 1))]
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                some = True
+                for x, y in zip(total, expected_pairs(model, held, block * BLOCK, np.frombuffer(counts.as_buffer(), "<f4").reshape(-1, CLASSES + 1))):
+                    x += y
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], names=["counts"])
+
+    return run
+
+
 def _expect(model: Model):
     """One row of bytes a task: its expected counts."""
 
@@ -175,14 +253,9 @@ def _expect(model: Model):
         k = len(model.start)
         total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES + 1))]
         for batch in batches:
-            column, at = batch.column(0), 0
-            sizes = np.cumsum([len(x) for x in (b.as_buffer() for b in column)])
-            while at < len(column):
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), side="right")))
-                stream = np.frombuffer(b"".join(b.as_py() for b in column[at:end]), "<u2")
+            for stream in _streams(batch.column(0)):
                 for x, y in zip(total, expected_counts(model, stream)):
                     x += y
-                at = end
         for i in range(k):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.concatenate([total[0][i : i + 1], total[1][i], total[2][i]]).tobytes()], pa.binary())], names=["state", "counts"])
 
@@ -195,7 +268,10 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def start_documents(sequences: DataFrame, tokens: int, most_tokens: int) -> list[np.ndarray]:
-    """Whole documents in order of their key's hash, of most_tokens symbols together at most; those that do not fit are passed over."""
+    """Whole documents in order of their key's hash, of most_tokens symbols together at most; those that do not fit are passed over.
+
+    For trials on few documents; training does not use it.
+    """
     # about twice as many as it takes have a hash under the bar; copies under one key count together
     bar = int(-(1 << 63) + ((1 << 64) - 1) * min(1, 2 * most_tokens / max(1, tokens)))
     hashed = sequences.withColumn("hash", F.xxhash64("key")).filter(F.col("hash") <= F.lit(min(bar, (1 << 63) - 1)))
@@ -211,18 +287,26 @@ def start_documents(sequences: DataFrame, tokens: int, most_tokens: int) -> list
     return [np.frombuffer(r.symbols, "<u2") for r in few.orderBy("hash").select("symbols").collect()]  # most_tokens symbols of 2 bytes
 
 
-def train(sequences: DataFrame, tokens: int, states: int = 8, rounds: int = 3, start_rounds: int = 40, start_tokens: int = 400_000) -> Model:
-    """sequences: columns key, n_tokens and symbols, of the training documents only, whose symbols are tokens together.
+def start_model(sequences: DataFrame, states: int, rounds: int) -> Model:
+    """The model that rounds over the counts of neighbours in all sequences lead to from random values."""
+    rows = sequences.select("symbols").mapInArrow(_pairs, "block int, cells binary, counts binary")
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("cells", "counts"), F.lit(64))).groupBy("block", "part").applyInArrow(_pair_sums(False), "block int, cells binary, counts binary")
+    blocks = stored(parts.groupBy("block").applyInArrow(_pair_sums(True), "block int, counts binary"), "pairs")
+    model, held = Model.initial(states), np.full(states, 1 / states)
+    for _ in range(rounds):
+        found = blocks.mapInArrow(_expect_pairs(model, held), "counts binary").collect()  # one row a task, of which there are not more than blocks
+        if not found:
+            break
+        start, move, emit = np.split(sum(np.frombuffer(r.counts, np.float64) for r in found), [states, states + states * states])
+        move = move.reshape(states, states)
+        model = Model.from_counts(start, move, emit.reshape(states, -1))
+        held = (move.sum(axis=1) + 0.1) / (move.sum() + 0.1 * states)
+    return model
+
 
-    The rounds over all of them begin where start_rounds over the start_documents, of at most start_tokens symbols, have led
-    from random values; a document longer than that takes part in the rounds over all only.
-    """
-    model = Model.initial(states)
-    held = start_documents(sequences, tokens, start_tokens)
-    if held:
-        stream = np.concatenate(held)
-        for _ in range(start_rounds):
-            model = Model.from_counts(*expected_counts(model, stream))
+def train(sequences: DataFrame, states: int = 8, rounds: int = 3, start_rounds: int = 80) -> Model:
+    """sequences: column symbols, of the training documents only. All of them take part in the start and in every round."""
+    model = start_model(sequences, states, start_rounds)
     for _ in range(rounds):
         per_task = sequences.select("symbols").mapInArrow(_expect(model), "state int, counts binary")
         parts = per_task.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64))).groupBy("state", "part").applyInArrow(_added, "state int, counts binary")
@@ -288,7 +372,7 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         per_class[r.key] = r.x + 0.5 * (r.y + 1)
     per_class[END] = 1
     v = int(sum(r.y for r in classes)) + (ends > 0)
-    model = train(sequences.filter(is_train), int(n), states, rounds)
+    model = train(sequences.filter(is_train), states, rounds)
     scored = sequences.mapInArrow(_scores(model, per_class), "doc_id long, key long, fold long, n_tokens long, classes_score double")
     # the same doc_id and text twice: the sums hold both, so they are shared out
     words = sums.filter("kind = 0").select("key", "x", F.col("y").alias("known"))

@@ -420,6 +420,34 @@ def test_start_of_the_language_model_takes_whole_documents_within_its_budget(spa
     assert len(got) == len(rows)
 
 
+def test_the_language_model_starts_from_all_documents(spark):
+    """Every pair of neighbours counts, also of a document of 450,000 symbols: the start equals rounds over the pairs by hand."""
+    rng = np.random.default_rng(5)
+    docs_ = [np.append(rng.integers(*span, n), hmm.END).astype("<u2") for span, n in (((0, 30), 40), ((60, 70), 0), ((4000, 4040), 450_000), ((20, 90), 3000), ((0, 5), 1))]
+    sequences = spark.createDataFrame([(bytearray(x.tobytes()),) for x in docs_], "symbols binary").repartition(3)
+    seen = Counter((int(a), int(b)) for x in docs_ for a, b in zip(np.append(hmm.END, x[:-1]), x))
+    m, held = hmm.Model.initial(3), np.full(3, 1 / 3)
+    for _ in range(2):
+        start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES + 1))
+        for (a, b), n in seen.items():
+            if a == hmm.END:
+                p = m.start * m.emit[:, b]
+                start += n * p / p.sum()
+                emit[:, b] += n * p / p.sum()
+            else:
+                p = (held * m.emit[:, a])[:, None] * m.move * m.emit[:, b]
+                p *= n / p.sum()
+                move += p
+                emit[:, a] += p.sum(axis=1)
+                emit[:, b] += p.sum(axis=0)
+        m, held = hmm.Model.from_counts(start, move, emit), (move.sum(axis=1) + 0.1) / (move.sum() + 0.3)
+    got = hmm.start_model(sequences, 3, 2)
+    for x, y in ((got.start, m.start), (got.move, m.move), (got.emit, m.emit)):
+        assert np.allclose(x, y, rtol=1e-3, atol=1e-6)
+    assert got.emit[:, 4000:4040].sum(axis=1).min() > 0.9
+    assert hmm.start_model(sequences.filter("false"), 3, 2).emit.tolist() == hmm.Model.initial(3).emit.tolist()
+
+
 def test_pii_proposals_hold_every_disguise_and_cost_their_length():
     rng, kinds = np.random.default_rng(4), {"email": "jane.roe@mail.example.org", "ip": "10.20.30.40", "card": "4111 1111 1111 1111", "phone": "+1 (743) 555-3824"}
     for kind, span in kinds.items():
