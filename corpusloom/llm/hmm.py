@@ -198,7 +198,7 @@ def _pairs(batches):
 
 
 def _pair_sums(dense: bool):
-    """Adds up rows of one block; dense: as a table of all its cells, 32-bit floats."""
+    """Adds up rows of one block; dense: as 32-bit floats, of all its cells (then none are named) where half of them or more are in use."""
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -206,12 +206,24 @@ def _pair_sums(dense: bool):
         for cells, counts in zip(table.column("cells"), table.column("counts")):
             total[np.frombuffer(cells.as_buffer(), "<u4")] += np.frombuffer(counts.as_buffer(), "<u8")
         cells = np.flatnonzero(total)
-        cols = {"counts": total.astype("<f4").tobytes()} if dense else {"cells": cells.astype("<u4").tobytes(), "counts": total[cells].astype("<u8").tobytes()}
+        if dense and 2 * len(cells) >= len(total):
+            cols = {"cells": b"", "counts": total.astype("<f4").tobytes()}
+        else:
+            cols = {"cells": cells.astype("<u4").tobytes(), "counts": total[cells].astype("<f4" if dense else "<u8").tobytes()}
         return pa.table([table.column("block")[:1], *(pa.array([x], pa.binary()) for x in cols.values())], names=["block", *cols])
 
     return run
 
 
+def _dense(block: int, cells: pa.Scalar, counts: pa.Scalar) -> np.ndarray:
+    """A row of _pair_sums(True) as classes of the block x classes."""
+    cells, counts = np.frombuffer(cells.as_buffer(), "<u4"), np.frombuffer(counts.as_buffer(), "<f4")
+    if len(cells):
+        counts, few = np.zeros(min(BLOCK, CLASSES + 1 - block * BLOCK) * (CLASSES + 1), np.float32), counts
+        counts[cells] = few
+    return counts.reshape(-1, CLASSES + 1)
+
+
 def expected_pairs(model: Model, held: np.ndarray, first: int, counts: np.ndarray):
     """(start, move, emit) counts of pairs of neighbours, each by itself; counts[r, x]: how often x follows class first + r.
 
@@ -236,9 +248,9 @@ def _expect_pairs(model: Model, held: np.ndarray):
         k, some = len(model.start), False
         total = [np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES + 1))]
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for block, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 some = True
-                for x, y in zip(total, expected_pairs(model, held, block * BLOCK, np.frombuffer(counts.as_buffer(), "<f4").reshape(-1, CLASSES + 1))):
+                for x, y in zip(total, expected_pairs(model, held, block * BLOCK, _dense(block, cells, counts))):
                     x += y
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total]).tobytes()], pa.binary())], names=["counts"])
@@ -291,7 +303,8 @@ def start_model(sequences: DataFrame, states: int, rounds: int) -> Model:
     """The model that rounds over the counts of neighbours in all sequences lead to from random values."""
     rows = sequences.select("symbols").mapInArrow(_pairs, "block int, cells binary, counts binary")
     parts = rows.withColumn("part", F.pmod(F.xxhash64("cells", "counts"), F.lit(64))).groupBy("block", "part").applyInArrow(_pair_sums(False), "block int, cells binary, counts binary")
-    blocks = stored(parts.groupBy("block").applyInArrow(_pair_sums(True), "block int, counts binary"), "pairs")
+    # few blocks a file, and none of mostly zeros: a task hands all that it reads to Python at once, and files tell little of what they hold
+    blocks = stored(parts.repartition(-(-(CLASSES + 1) // BLOCK), "block").groupBy("block").applyInArrow(_pair_sums(True), "block int, cells binary, counts binary"), "pairs")
     model, held = Model.initial(states), np.full(states, 1 / states)
     for _ in range(rounds):
         found = blocks.mapInArrow(_expect_pairs(model, held), "counts binary").collect()  # one row a task, of which there are not more than blocks

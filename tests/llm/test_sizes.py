@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("corpusloom.llm")
-from corpusloom.llm import quality, simhash, topk  # noqa: E402
+from corpusloom.llm import hmm, quality, simhash, topk  # noqa: E402
 
 
 def plan(df):
@@ -43,3 +43,15 @@ def test_quality_brings_no_lists_of_numbers_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", lambda self: brought.append(self.schema.simpleString()) or collect(self))
     assert quality.fit(docs, labels)["network"].p[0].shape[1] == 32
     assert not [x for x in brought if "array" in x or "binary" in x]
+
+
+def test_hmm_hands_few_counts_of_neighbours_to_python_at_once(spark, monkeypatch):
+    """65 blocks of few cells take no room for the other cells, and blocks of many cells lie in several tasks."""
+    rng, made = np.random.default_rng(5), []
+    monkeypatch.setattr(hmm, "stored", lambda df, name, keep=hmm.stored: made.append(keep(df, name)) or made[-1])
+    for tokens in (9000, 4_000_000):
+        rows = [(bytearray(np.append(rng.integers(0, hmm.CLASSES, tokens), hmm.END).astype("<u2").tobytes()),) for _ in range(4)]
+        hmm.start_model(spark.createDataFrame(rows, "symbols binary"), 2, 1)
+        bytes_of = sum((F.length(c) for c, kind in made[-1].dtypes if kind == "binary"), F.lit(0))
+        sizes = [r.n for r in made[-1].groupBy(F.spark_partition_id()).agg(F.sum(bytes_of).alias("n")).collect()]
+        assert made[-1].count() == 65 and max(sizes) < (1 << 20 if tokens == 9000 else 32 << 20)
